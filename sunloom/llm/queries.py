@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, lm_scoring, mixing, near_dup, quality
+from . import langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup
 from ._spark import table
 
 
@@ -29,6 +29,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken")
@@ -43,5 +47,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op5_language_id, op8_mix_sources, op9_quality, op10_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op5_language_id, op7_suffix_dedup, op8_mix_sources, op9_quality, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
