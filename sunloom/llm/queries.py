@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup
+from . import decontaminate, langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup, topk
 from ._spark import table
 
 
@@ -21,6 +21,15 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start")
+
+
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings")).withColumn("rank", F.col("rank").cast("int"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
@@ -47,5 +56,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op5_language_id, op7_suffix_dedup, op8_mix_sources, op9_quality, op10_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_decontaminate, op4_topk, op5_language_id, op7_suffix_dedup, op8_mix_sources, op9_quality, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
