@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup, topk
+from . import decontaminate, html_extract, langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup, topk
 from ._spark import table
 
 
@@ -38,6 +38,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_extract.extract(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup_digest(table(spark, sf_dir, "documents"))
 
@@ -56,5 +61,5 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_decontaminate, op4_topk, op5_language_id, op7_suffix_dedup, op8_mix_sources, op9_quality, op10_near_dup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_lm_scoring, op2_license_scan, op3_decontaminate, op4_topk, op5_language_id, op6_html_extract, op7_suffix_dedup, op8_mix_sources, op9_quality, op10_near_dup)}
 ORACLE_SQL: dict[str, str] = {}
