@@ -134,18 +134,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     style = np.vstack([np.frombuffer(x.as_buffer(), np.float64) for x in got["style"]])
     lists = [np.frombuffer(x.as_buffer(), np.int32) for x in got["buckets"]]
-    row, flat = np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate(lists)
+    step = 500  # rows at a time, so that the driver holds little besides the rows themselves
     mean, scale = style.mean(0), style.std(0) + 1e-6
-    words, heads = np.zeros((2, BUCKETS)), []
+    words, heads = np.zeros((2, BUCKETS), np.float32), []
     for k in range(2):
-        pos = np.bincount(flat, weights=y[row, k], minlength=BUCKETS)
-        neg = np.bincount(flat, weights=1 - y[row, k], minlength=BUCKETS)
-        n1, n0 = y[:, k].sum(), (1 - y[:, k]).sum()
-        odds = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
+        both = np.zeros((2, BUCKETS), np.int32)
+        for c in range(2):
+            mine = [x for x, z in zip(lists, y[:, k], strict=True) if z == c]
+            for at in range(0, len(mine), step):
+                np.add.at(both[c], np.concatenate(mine[at : at + step]), 1)
+        n0, n1 = (y[:, k] == 0).sum(), (y[:, k] == 1).sum()
+        often = np.flatnonzero(both.sum(0) >= min_support)
+        neg, pos = both[0][often] + 0.5, both[1][often] + 0.5
+        odds = np.log(pos / (n1 + 1)) - np.log(neg / (n0 + 1))
         # What is left of the log-odds two standard errors nearer to 0; small ones only mirror lengths and topics.
-        sure = np.abs(odds) - 2 * np.sqrt(1 / (pos + 0.5) + 1 / (neg + 0.5))
-        words[k] = np.where((pos + neg >= min_support) & (sure >= min_odds), np.sign(odds) * sure, 0)
-        evidence = np.bincount(row, weights=words[k][flat], minlength=len(y))
+        sure = np.abs(odds) - 2 * np.sqrt(1 / pos + 1 / neg)
+        words[k][often] = np.where(sure >= min_odds, np.sign(odds) * sure, 0)
+        evidence = np.array([words[k][x].sum(dtype=np.float64) for x in lists])
         heads.append(_logistic(Model.design(style, evidence, mean, scale), y[:, k].astype(float)))
     return Model(words, mean, scale, np.array(heads), y.mean(0))
 
