@@ -28,7 +28,7 @@ from . import _text
 from ._spark import partitions, saved
 from .suffix_sort import suffix_arrays
 
-WINDOW, GRAM = 400, 200
+WINDOW, GRAM = 400, 128
 #: Contexts of one hash that are sorted together; more are split.
 MOST_CONTEXTS = 2048
 #: Bytes that a task sorts at once.
