@@ -1,17 +1,18 @@
 """Removal of every byte that a repeated 400-byte string covers.
 
 Anchors: in every 400-byte string the leftmost smallest hash among its GRAM-byte
-substrings marks an anchor.  Equal strings have equal anchors at equal places, so
-two equal strings lie in the contexts of two anchors with the same hash.  Anchors
-with a hash of their own are done; equal contexts are one context from there on.
-The different contexts of one hash are suffix-sorted together (suffix_sort), and
-neighbours in the suffix array that agree in 400 bytes are repeated strings.
-
-A hash with more contexts than one task should hold is split without loss: each
-context becomes two, for the left and the right half of its strings, keyed by the
-bytes that all strings of the half share; equal halves are one again, halves
-whose shared bytes are unique are done, and the rest is treated as before, down
-to single strings.
+substrings marks an anchor; an anchor's context is what the strings that choose
+it cover.  Equal strings have equal anchors at equal places, so two equal strings
+lie in the contexts of two anchors with the same hash.  Anchors with a hash of
+their own are done; equal contexts are one context from there on.
+
+The strings of the different contexts of one hash are looked at in cells of
+neighbouring starts.  Where the bytes that all strings of a cell share are unique,
+none is repeated; where a whole cell is found twice, all are.  The different
+cells that are left are suffix-sorted together (suffix_sort), and neighbours in
+the suffix array that agree in 400 bytes are repeated strings.  Too many
+different cells for one sort are halved, down to single strings; a hash with more
+contexts than one task should hold is halved in the same way by a shuffle.
 """
 
 from __future__ import annotations
@@ -29,11 +30,14 @@ from ._spark import partitions, saved
 from .suffix_sort import suffix_arrays
 
 WINDOW, GRAM = 400, 128
-#: Contexts of one hash that are sorted together; more are split.
-MOST_CONTEXTS = 2048
+#: Contexts of one hash that one task holds; more are split by a shuffle.
+MOST_CONTEXTS = 40_000
+#: Different cells that are sorted together; more are halved.
+MOST_SORTED = 256
 #: Bytes that a task sorts at once.
-SORT_BYTES = 3 << 20
-CELL = 64
+SORT_BYTES = 2 << 20
+#: Neighbouring starts that are looked at together.
+CELL = 32
 _PIECE = 1 << 23
 
 
@@ -81,10 +85,13 @@ def anchors(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, ...]:
     whole = np.zeros(n + 1, np.int32)
     whole[offs[:-1][np.diff(offs) >= WINDOW]] += 1
     whole[(offs[1:] - WINDOW + 1)[np.diff(offs) >= WINDOW]] -= 1
-    at = (least[np.cumsum(whole)[: len(least)] > 0] & np.uint64(0xFFFFFF)).astype(np.int64)
-    at = at[np.concatenate(([True], at[1:] != at[:-1]))] if len(at) else at
+    start = np.flatnonzero(np.cumsum(whole)[: len(least)] > 0)
+    at = (least[start] & np.uint64(0xFFFFFF)).astype(np.int64)
+    # The strings that choose an anchor start side by side; its context is what they cover.
+    run = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
+    begin, end = start[run], start[np.append(run[1:], len(at))[: len(run)] - 1] + WINDOW
+    at = at[run]
     row = np.searchsorted(offs, at, "right") - 1
-    begin, end = np.maximum(at - (WINDOW - GRAM), offs[row]), np.minimum(at + WINDOW, offs[row + 1])
     context = _text.mix((total[end] - total[begin]) * inverse[begin] + _text.mix(((at - begin) * 1024 + (end - at)).astype(np.uint64)))
     return row, at - offs[row], h[at], context, begin - at, end - begin
 
@@ -176,35 +183,58 @@ def _sort_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (core, sub, slice, key, start, multi, low), those of a core adjacent -> (core, sub, spans) with a repeated string."""
 
     def solve(held: list[tuple]) -> pa.RecordBatch:
-        # Starts are looked at in cells of CELL; where nobody else has the bytes that a cell's strings share, none is repeated.
-        shared: dict[tuple, int] = {}
-        cells: list[list[tuple[int, int, tuple]]] = []
-        for x in held:
-            data, low, mine = x[2], x[6] + WINDOW - GRAM, []
-            end = low + len(data) - WINDOW
-            for cell in range(low // CELL, end // CELL + 1):
-                a, z = cell * CELL, cell * CELL + CELL - 1
-                name = (x[0], cell, data[z - low : a - low + WINDOW])
-                shared[name] = shared.get(name, 0) + 1 + bool(x[5])
-                mine.append((max(a, low) - low, min(z, end) - low, name))
-            cells.append(mine)
-        owner, pieces = [], []
-        for k, mine in enumerate(cells):
-            begin = None
-            for a, z, name in [*mine, (0, 0, None)]:
-                if name is not None and shared[name] > 1:
-                    begin, last = (a if begin is None else begin), z
-                elif begin is not None:
-                    owner.append(k)
-                    pieces.append((begin, held[k][2][begin : last + WINDOW]))
-                    begin = None
-        spans: list[list[int]] = [[] for _ in held]
-        if pieces:
-            cores = {c: i for i, c in enumerate(dict.fromkeys(x[0] for x in held))}
-            got = repeated_starts([data for _, data in pieces], np.array([cores[held[k][0]] for k in owner]), [(held[k][3], held[k][4] + at) for k, (at, _) in zip(owner, pieces, strict=True)], np.array([held[k][5] for k in owner], bool))
-            for k, (at, _), starts in zip(owner, pieces, got, strict=True):
-                spans[k] += _spans(starts + at).tolist()
-        rows = [(x[0], x[1], y) for x, y in zip(held, spans, strict=True) if y]
+        starts: list[list[np.ndarray]] = [[] for _ in held]
+        owner: list[list[int]] = []  # of each piece to sort: the rows that have it
+        pieces, groups, places, multi = [], [], [], []
+
+        def look(rows: list[int], a: int, z: int) -> None:
+            """Starts a to z, counted from the first possible one, of rows with one hash."""
+            shared: dict[bytes, dict[tuple[int, bytes], list[int]]] = {}
+            for k in rows:
+                data, low = held[k][2], held[k][6] + WINDOW - GRAM
+                lo, hi = max(a, low), min(z, low + len(data) - WINDOW)
+                if lo <= hi:
+                    whole = (lo, data[lo - low : hi - low + WINDOW])
+                    shared.setdefault(data[z - low : a - low + WINDOW], {}).setdefault(whole, []).append(k)
+            for contents in shared.values():
+                for (lo, whole), own in contents.items():
+                    if len(own) > 1 or held[own[0]][5]:
+                        for k in own:
+                            at = lo - held[k][6] - WINDOW + GRAM
+                            starts[k].append(np.arange(at, at + len(whole) - WINDOW + 1))
+                if 1 < len(contents) <= MOST_SORTED or len(contents) > 1 and a == z:
+                    for (lo, whole), own in contents.items():
+                        k = own[0]
+                        owner.append(own)
+                        pieces.append((lo, whole))
+                        groups.append(look.group)
+                        places.append((held[k][3], held[k][4] + lo - held[k][6] - WINDOW + GRAM))
+                        multi.append(len(own) > 1 or bool(held[k][5]))
+                    look.group += 1
+                elif len(contents) > 1:
+                    more = [k for own in contents.values() for k in own]
+                    look(more, a, (a + z) // 2)
+                    look(more, (a + z) // 2 + 1, z)
+
+        look.group = 0
+        first = 0
+        for k in range(1, len(held) + 1):
+            if k == len(held) or held[k][0] != held[first][0]:
+                for a in range(0, WINDOW - GRAM + 1, CELL):
+                    look(list(range(first, k)), a, min(a + CELL - 1, WINDOW - GRAM))
+                first = k
+        at = 0
+        while at < len(pieces):  # as many whole groups at once as SORT_BYTES allow
+            end, size = at, 0
+            while end < len(pieces) and (size < SORT_BYTES or groups[end] == groups[end - 1]):
+                size += len(pieces[end][1])
+                end += 1
+            got = repeated_starts([whole for _, whole in pieces[at:end]], np.array(groups[at:end]), places[at:end], np.array(multi[at:end], bool))
+            for (lo, _), own, x in zip(pieces[at:end], owner[at:end], got, strict=True):
+                for k in own if len(x) else ():
+                    starts[k].append(x + (lo - held[k][6] - WINDOW + GRAM))
+            at = end
+        rows = [(x[0], x[1], _spans(np.unique(np.concatenate(y))).tolist()) for x, y in zip(held, starts, strict=True) if y]
         return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))], names=["core", "sub", "spans"])
 
     held: list[tuple] = []
