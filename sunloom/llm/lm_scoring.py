@@ -58,7 +58,7 @@ def _asked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return _distinct(np.concatenate((uni, bi[bi != uni])))
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, chunk_mb: float = 12.0) -> DataFrame:
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, chunk_mb: float = 6.0) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, n_backoff, log_score (natural log, summed), score (log_score per token).
 
     score of word w after v: c(v w) / c(v) if c(v w) >= min_count, else alpha * c(w) / N; a document's first word has
