@@ -118,5 +118,5 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows whose text matches an item."""
     keys = contaminated(docs, benchmark, text_col).select("key").distinct()
-    rows = docs.withColumn("_digest", F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))))
-    return rows.join(keys, F.col("_digest") == F.col("key"), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))).alias("digest"))
+    return rows.join(keys, F.col("digest") == F.col("key"), "left_anti").select("doc.*")

@@ -93,6 +93,8 @@ class Model:
     def scores(self, w: Words) -> np.ndarray:
         """Words by languages: mean-free log-likelihoods; a language outside the word's script is far behind."""
         out = np.empty((len(w.size), len(self.langs)), np.float32)
+        if not self.langs:
+            return out
         for k in range(len(self.langs)):
             total = np.concatenate(([0.0], np.cumsum(self.logs[k][w.cells], dtype=np.float64)))
             out[:, k] = total[w.cuts[1:]] - total[w.cuts[:-1]]

@@ -288,8 +288,7 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     _, texts = _classes(docs, id_col, text_col)
     digest = F.xxhash64(*(F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()))
-    mine = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(*mine, text_key(text_col).alias("_key"), digest.alias("_row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"), text_key(text_col).alias("_key"), digest.alias("_row"))
     slim = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"), digest.alias("_row")).where("_key IS NOT NULL")
     best = F.min(F.struct(F.col("_id").isNull().alias("_none"), F.col("_id"), F.col("_row")))
     # Per text first, then per class: a group of copies is one row per task in the shuffle.
@@ -298,4 +297,4 @@ def keep_representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str
     once = rows.where("_key IS NOT NULL").join(first, ["_key", "_row"], "left_semi")
     same = Window.partitionBy("_key", "_row").orderBy("_row")
     once = once.withColumn("_nth", F.row_number().over(same)).where("_nth = 1")
-    return once.select(*mine).union(rows.where("_key IS NULL").select(*mine))
+    return once.select("_doc.*").union(rows.where("_key IS NULL").select("_doc.*"))

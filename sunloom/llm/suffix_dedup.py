@@ -397,14 +397,14 @@ def remove_repeats(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.num_columns - 3
-            raw, offs = _text.utf8(b.column(n))
+            columns = b.column(0).flatten()
+            raw, offs = _text.utf8(b.column(1))
             text = []
-            for k, (null, spans, copied) in enumerate(zip(b.column(at).is_null().to_pylist(), b.column(n + 1).to_pylist(), b.column(n + 2).to_pylist(), strict=True)):
+            for k, (null, spans, copied) in enumerate(zip(columns[at].is_null().to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 text.append(None if null else _kept(raw[offs[k] : offs[k + 1]], spans, bool(copied))[1].decode("utf-8", "ignore"))
-            columns = b.columns[:n]
-            columns[at] = pa.array(text, b.column(at).type)
-            yield pa.RecordBatch.from_arrays(columns, names=b.schema.names[:n])
+            columns[at] = pa.array(text, columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    mine = [F.col(f"`{c}`") for c in docs.columns]
-    return _marked(docs, text_col, mine).select(*mine, "_text", "_spans", "_copied").mapInArrow(run, kinds)
+    names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
+    return _marked(docs, text_col, [row]).select("_row", "_text", "_spans", "_copied").mapInArrow(run, kinds)
