@@ -72,7 +72,7 @@ ORACLE_SQL: dict[str, str] = {
         s AS (SELECT doc_id, CASE WHEN p.b IS NULL THEN ln(u.c) - ln(n) WHEN g.c >= 2 THEN ln(g.c) - ln(h.c) ELSE ln(0.4) + ln(u.c) - ln(n) END AS l, (p.b IS NOT NULL AND g.c < 2)::BIGINT AS k
             FROM p CROSS JOIN n JOIN u ON u.w = p.w LEFT JOIN g ON g.b = p.b AND g.w = p.w LEFT JOIN u h ON h.w = p.b)
         SELECT t.doc_id, count(s.l)::BIGINT AS n_tokens, coalesce(sum(k), 0)::BIGINT AS n_backoff, round(coalesce(sum(l), 0.0), 3) AS log_score, round(sum(l) / nullif(count(l), 0), 6) AS score FROM t LEFT JOIN s ON s.doc_id = t.doc_id GROUP BY 1""",
-    "op4_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+    "op4_topk": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
         r AS (SELECT q.vec_id AS query_id, v.vec_id, list_dot_product(q.e, v.e)::BIGINT AS score FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 50 = 0)
         SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM r) WHERE rank <= 5""",
 }
