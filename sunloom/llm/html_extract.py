@@ -4,10 +4,10 @@ Every page is read as tokens: its elements (path of tags with their classes) and
 its text blocks (path and text).  A token's occurrence vector over the host's
 pages is kept as one linear fingerprint, the sum of count * hash(page), so tokens
 are grouped into equivalence classes by plain sums, without gathering pages.
-Classes that are large and frequent enough are valid; the elements among them nest into
-the host's template, its constant texts are template text, and what varies
-between them are the slots.  The main text is the slot of the article (the
-article or main element; without one, the template slot with most varying text)
+Large and frequent classes make up the host's template: their elements nest as
+the pages do, and a text of the class that always stands in one slot between
+them is template text.  All other text lies in the slots.  The main text is
+that of the article (the article or main element; without one, of all slots)
 less everything in it that is a menu, form, notice, advert, comment and so on.
 """
 
@@ -15,8 +15,9 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_left
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -39,8 +40,8 @@ _NAMES = frozenset("ad ads advert adverts advertisement advertising adsense bann
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 _MAIN_NAMES = frozenset(("main", "articlebody"))
 _WORDS = re.compile(r"[a-z]+")
-#: Shares of a host's pages: a valid class stands in so many of them, template text within the article in so many.
-SUPPORT, ARTICLE_SUPPORT, LEAST_PAGES = 0.5, 0.9, 20
+#: Shares of a host's pages: a frequent class stands in so many of them, template text within the article in so many.
+SUPPORT, ARTICLE_SUPPORT = 0.5, 0.9
 #: Template rows up to which the template is sent to every task; beyond it pages are joined with their host's.
 BROADCAST_ROWS = 200_000
 
@@ -50,10 +51,10 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 class Block:
-    __slots__ = ("dropped", "main", "path", "text")
+    __slots__ = ("at", "dropped", "main", "path", "text")
 
-    def __init__(self, path: int, dropped: bool, main: int, text: str):
-        self.path, self.dropped, self.main, self.text = path, dropped, main, text
+    def __init__(self, path: int, dropped: bool, main: int, text: str, at: int):
+        self.path, self.dropped, self.main, self.text, self.at = path, dropped, main, text, at
 
 
 def _outside(tag: str, a: dict[str, str], in_main: bool) -> bool:
@@ -69,7 +70,8 @@ def _outside(tag: str, a: dict[str, str], in_main: bool) -> bool:
 def parse(page: str) -> tuple[list[int], list[Block]]:
     """The paths (hashes) of a page's elements in order, and its text blocks.
 
-    A block's `main` is the number of its article or main element (0: none).  Unclosed and misnested tags are closed as
+    A block's `main` is the number of its article or main element (0: none), `at` the number of elements that begin
+    before it.  Unclosed and misnested tags are closed as
     browsers do for paragraphs, list items and table parts; stray end tags are ignored.
     """
     elements: list[int] = []
@@ -77,7 +79,7 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
     # open elements: (tag, path, dropped, main)
     stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
     text: list[str] = []
-    mains, at, n = 0, 0, len(page)
+    mains, at, n, begun = 0, 0, len(page), 0
 
     def flush() -> None:
         if text:
@@ -88,7 +90,7 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
                 k = len(stack) - 1
                 while k and stack[k][0] not in _BLOCK:
                     k -= 1
-                blocks.append(Block(stack[k][1], top[2], top[3], words))
+                blocks.append(Block(stack[k][1], top[2], top[3], words, begun))
 
     def pop(k: int) -> None:
         if any(x[0] in _BLOCK or x[2] != stack[k - 1][2] for x in stack[k:]):
@@ -98,10 +100,11 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
     while at < n:
         m = _TAG.search(page, at)
         if not m:
-            rest = page[at:]
-            text.append(rest)
+            begun = begun if text else len(elements)
+            text.append(page[at:])
             break
         if m.start() > at:
+            begun = begun if text else len(elements)
             text.append(page[at : m.start()])
         if m[2] is None:
             end = page.find("-->", m.end()) if m[0] == "<!--" else page.find(">", m.end())
@@ -162,14 +165,6 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
     return elements, blocks
 
 
-def _page_tokens(page: str) -> Counter:
-    elements, blocks = parse(page)
-    tokens: Counter = Counter(elements)
-    for b in blocks:
-        tokens[_text_token(b)] += 1
-    return tokens
-
-
 def _text_token(b: Block) -> int:
     return xxhash.xxh64_intdigest(f"{b.path}|{b.text}") >> 1
 
@@ -182,7 +177,7 @@ def host_of(url: str | None) -> str:
 
 
 def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), constant: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, given its host's template text tokens and those so common that they go even from articles."""
+    """The main text of a page, given its host's template text tokens and those that go even from articles."""
     _, blocks = parse(page)
     kept = [b for b in blocks if not b.dropped]
     size: Counter = Counter()
@@ -195,13 +190,32 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), cons
     return "\n".join(b.text for b in kept if not template or _text_token(b) not in template)
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", key_col: str = "page_id") -> DataFrame:
-    """(host, token, pages, share, members): the tokens of valid classes, for hosts with LEAST_PAGES pages or more.
+def _told(pages: DataFrame, rows: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[dict[int, int]]]]:
+    """Pages (_url and _html last), and what gives each page of a batch its host's map of rows (host, token, value).
 
-    A class is the tokens of a host with one occurrence vector; it is valid if it has two members, or is one token, and
-    stands in SUPPORT of the pages.  There are fewer of them than twice a page's tokens, however many pages a host has.
+    Up to BROADCAST_ROWS rows go to every task; more are joined, as a last column.
+    """
+    if rows.count() <= BROADCAST_ROWS:
+        known: dict[str, dict[int, int]] = {}
+        for host, token, value in rows.collect():
+            known.setdefault(host, {})[token] = value
+        shared = pages.sparkSession.sparkContext.broadcast(known)  # BROADCAST_ROWS pairs of numbers at most
+        at = len(pages.columns) - 2
+        return pages, lambda b: [shared.value.get(host_of(x), {}) for x in b.column(at).to_pylist()]
+    host = F.lower(F.coalesce(F.regexp_extract("_url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^:/?#]*)", 1), F.lit("")))
+    per = rows.groupBy(F.col("host").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_told"))
+    joined = pages.withColumn("_host", host).join(per, F.col("_host") == F.col("_h"), "left").select(*pages.columns, "_told")
+    at = len(pages.columns)
+    return joined, lambda b: [dict(x or ()) for x in b.column(at).to_pylist()]
+
+
+def _classes(source: DataFrame) -> DataFrame:
+    """(host, token, value, share): the tokens of the large and frequent classes of each host; value: the class.
+
+    A class is the tokens of a host with one occurrence vector.  It is frequent if it stands in SUPPORT of the pages, in
+    two at least, and large if it has elements and texts: a text whose vector is no element's belongs to no template,
+    however common it is.  There are fewer such tokens than twice a page's, however many pages a host has.
     """
-    source = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -209,20 +223,73 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html", ke
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 host = host_of(url)
                 mine = xxhash.xxh64_intdigest(f"{url}|{page}")
-                for token, count in _page_tokens(page or "").items():
-                    s = sums.setdefault((host, token), [0, 0])
-                    s[0] = (s[0] + count * mine) & 0xFFFFFFFF
-                    s[1] += 1
-                s = sums.setdefault((host, 0), [0, 0])
-                s[1] += 1
+                elements, blocks = parse(page or "")
+                for kind, tokens in enumerate((elements, [_text_token(x) for x in blocks])):
+                    for token, count in Counter(tokens).items():
+                        s = sums.setdefault((host, token), [0, 0, kind])
+                        s[0] = (s[0] + count * mine) & 0xFFFFFFFF
+                        s[1] += 1
+                if elements or blocks:
+                    sums.setdefault((host, 0), [0, 0, 0])[1] += 1
             keys = list(sums)
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([sums[k][0] for k in keys], pa.int64()), pa.array([sums[k][1] for k in keys], pa.int64())], names=["host", "token", "vector", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([sums[k][j] for k in keys], pa.int64()) for j in range(3))], names=["host", "token", "vector", "n", "kind"])
 
-    counted = source.mapInArrow(run, "host string, token long, vector long, n long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"))
-    sizes = counted.where("token = 0").select("host", F.col("n").alias("pages")).where(F.col("pages") >= LEAST_PAGES)
+    counted = source.mapInArrow(run, "host string, token long, vector long, n long, kind long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.max("kind").alias("kind"))
+    counted = saved(counted.where("n > 1"))
+    sizes = counted.where("token = 0").select("host", F.col("n").alias("pages"))
     frequent = counted.where("token <> 0").join(sizes, "host").where(F.col("n") >= SUPPORT * F.col("pages"))
-    classes = frequent.groupBy("host", "vector", "n").agg(F.count("*").alias("members"))
-    return frequent.join(classes, ["host", "vector", "n"]).select("host", "token", "pages", (F.col("n") / F.col("pages")).alias("share"), "members")
+    large = frequent.groupBy("host", "vector", "n").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low = 0 AND high = 1")
+    return saved(frequent.join(large, ["host", "vector", "n"]).select("host", "token", F.xxhash64("vector", "n").alias("value"), (F.col("n") / F.col("pages")).alias("share")))
+
+
+def slots(page: str, classes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(slot, company) of each text token of a page that is in a class and not dropped.
+
+    The slot: the elements of its class around it (after the last comes the first), -1 if it stands in several.  The
+    company: the longest other text that is not dropped, 0 for none.
+    """
+    elements, blocks = parse(page)
+    of: dict[int, list[int]] = {}
+    for k, token in enumerate(elements):
+        if token in classes:
+            of.setdefault(classes[token], []).append(k)
+    kept = [(_text_token(b), b) for b in blocks if not b.dropped]
+    longest = sorted({(-len(b.text), token) for token, b in kept})[:2]
+    out: dict[int, tuple[int, int]] = {}
+    for token, b in kept:
+        if token in classes:
+            mine = of[classes[token]]
+            k = bisect_left(mine, b.at)
+            slot = xxhash.xxh64_intdigest(f"{elements[mine[k - 1]]}|{elements[mine[k % len(mine)]]}") >> 1
+            company = next((t for _, t in longest if t != token), 0)
+            out[token] = (slot if out.get(token, (slot,))[0] == slot else -1, company)
+    return out
+
+
+def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(host, token, share): each host's template text, for every host with two pages or more.
+
+    That is the text of large and frequent classes that stands in one slot of its class on all pages, in changing
+    company: where the longest text beside it is always the same, the pages may be near copies, and nothing shows
+    that their common text is a template's.
+    """
+    source = pages.select(F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
+    classes = _classes(source)
+    joined, told = _told(source, classes.select("host", "token", "value"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: dict[tuple[str, int], list[int]] = {}
+            for url, page, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), told(b), strict=True):
+                if known and page:
+                    for token, (slot, company) in slots(page, known).items():
+                        s = seen.setdefault((host_of(url), token), [slot, slot, company, company])
+                        s[:] = min(s[0], slot), max(s[1], slot), min(s[2], company), max(s[3], company)
+            keys = list(seen)
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([seen[k][j] for k in keys], pa.int64()) for j in range(4))], names=["host", "token", "s0", "s1", "c0", "c1"])
+
+    found = joined.mapInArrow(run, "host string, token long, s0 long, s1 long, c0 long, c1 long").groupBy("host", "token").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
+    return found.where("s0 = s1 AND s0 >= 0 AND c0 <> c1").join(classes.select("host", "token", "share"), ["host", "token"]).select("host", "token", "share")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -234,32 +301,15 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    rows = templates(pages, url_col, html_col, id_col).groupBy("host").agg(F.collect_list(F.when(F.col("share") < ARTICLE_SUPPORT, F.col("token"))).alias("some"), F.collect_list(F.when(F.col("share") >= ARTICLE_SUPPORT, F.col("token"))).alias("most"))
-    rows = saved(rows)
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    n = rows.agg(F.sum(F.size("some") + F.size("most"))).first()[0] or 0
-    if n <= BROADCAST_ROWS:
-        known = {r["host"]: (frozenset(r["some"]) | frozenset(r["most"]), frozenset(r["most"])) for r in rows.collect()}
-        shared = source.sparkSession.sparkContext.broadcast(known)  # BROADCAST_ROWS numbers at most
-        joined = source
-    else:
-        shared = None
-        host = F.lower(F.coalesce(F.regexp_extract("_url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^:/?#]*)", 1), F.lit("")))
-        joined = source.withColumn("_host", host).join(rows.withColumnRenamed("host", "_h"), F.col("_host") == F.col("_h"), "left").select("_id", "_url", "_html", "some", "most")
+    rows = templates(pages, url_col, html_col).select("host", "token", (F.col("share") >= ARTICLE_SUPPORT).cast("long").alias("value"))
+    joined, told = _told(source, saved(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none: frozenset[int] = frozenset()
         for b in batches:
             out = []
-            many = b.column(3).to_pylist() if shared is None else None
-            most = b.column(4).to_pylist() if shared is None else None
-            for k, (url, page) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True)):
-                if shared is not None:
-                    template, constant = shared.value.get(host_of(url), (none, none))
-                else:
-                    constant = set(most[k] or ())
-                    template = constant | set(many[k] or ())
-                out.append(main_text(page or "", template, constant))
+            for page, known in zip(b.column(2).to_pylist(), told(b), strict=True):
+                out.append(main_text(page or "", frozenset(known), frozenset(k for k, v in known.items() if v)))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["_id", "_url", "text"])
 
     return joined.mapInArrow(run, f"_id {kind}, _url string, text string").select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

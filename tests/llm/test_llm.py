@@ -164,6 +164,25 @@ def test_template_deduction(spark):
     assert len(got) == 33 and got[4] == "story 4 text" and got[100] == "" and got[None] == "" and got[101] == "lone"
 
 
+
+def _texts(spark, pages):
+    frame_ = spark.createDataFrame([(k, u, h) for k, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r["text"] for r in html_extract.extract(frame_).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("rows", [200_000, 0])
+def test_template_needs_a_class_not_a_host_size(spark, rows, monkeypatch):
+    monkeypatch.setattr(html_extract, "BROADCAST_ROWS", rows)
+    pages = [("http://small.example/", f"<body><div class=x><p>Welcome to our site</p></div><div class=y><p>story {k} of the day</p></div></body>") for k in range(5)]
+    # A passage that most pages share, in no element of its own, is no template text; nor is what near copies share.
+    shared = [("http://big.example/", f"<body><p>opening {k}</p>{'<p>a famous quotation</p>' if k % 4 else ''}<p>closing words {k}</p></body>") for k in range(24)]
+    near = [("http://near.example/", f"<body><h1>One title</h1><div><p>a long text that both near copies share</p></div><p>edit {k}</p></body>") for k in range(2)]
+    got = _texts(spark, pages + shared + near)
+    assert got[:5] == [f"story {k} of the day" for k in range(5)]
+    assert got[5:29] == [f"opening {k}\n" + ("a famous quotation\n" if k % 4 else "") + f"closing words {k}" for k in range(24)]
+    assert got[29:] == [f"One title\na long text that both near copies share\nedit {k}" for k in range(2)]
+
+
 def brute_dedup(rows):
     n, seen = suffix_dedup.WINDOW, Counter()
     for _, t in rows:
