@@ -17,7 +17,7 @@ import html
 import re
 from bisect import bisect_left
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from urllib.parse import urlsplit
 
 import pyarrow as pa
@@ -40,8 +40,8 @@ _NAMES = frozenset("ad ads advert adverts advertisement advertising adsense bann
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 _MAIN_NAMES = frozenset(("main", "articlebody"))
 _WORDS = re.compile(r"[a-z]+")
-#: Shares of a host's pages: a frequent class stands in so many of them, template text within the article in so many.
-SUPPORT, ARTICLE_SUPPORT = 0.5, 0.9
+#: Share of a host's distinct pages that a frequent class stands in.
+SUPPORT = 0.5
 #: Template rows up to which the template is sent to every task; beyond it pages are joined with their host's.
 BROADCAST_ROWS = 200_000
 
@@ -176,8 +176,8 @@ def host_of(url: str | None) -> str:
         return ""
 
 
-def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), constant: frozenset[int] | set[int] = frozenset()) -> str:
-    """The main text of a page, given its host's template text tokens and those that go even from articles."""
+def main_text(page: str, template: Collection[int] = ()) -> str:
+    """The main text of a page, given its host's template text tokens; nothing goes from an article for being common."""
     _, blocks = parse(page)
     kept = [b for b in blocks if not b.dropped]
     size: Counter = Counter()
@@ -186,7 +186,7 @@ def main_text(page: str, template: frozenset[int] | set[int] = frozenset(), cons
     articles = {k: v for k, v in size.items() if k}
     if articles:
         best = max(articles, key=lambda k: (articles[k], -k))
-        return "\n".join(b.text for b in kept if b.main == best and (not constant or _text_token(b) not in constant))
+        return "\n".join(b.text for b in kept if b.main == best)
     return "\n".join(b.text for b in kept if not template or _text_token(b) not in template)
 
 
@@ -210,36 +210,53 @@ def _told(pages: DataFrame, rows: DataFrame) -> tuple[DataFrame, Callable[[pa.Re
 
 
 def _classes(source: DataFrame) -> DataFrame:
-    """(host, token, value, share): the tokens of the large and frequent classes of each host; value: the class.
+    """(host, token, value): the tokens of the large and frequent classes of each host; value: the class.
 
-    A class is the tokens of a host with one occurrence vector.  It is frequent if it stands in SUPPORT of the pages, in
+    A class is the tokens of a host with one occurrence vector over its distinct pages: copies count once.  It is frequent if it stands in SUPPORT of the pages, in
     two at least, and large if it has elements and texts: a text whose vector is no element's belongs to no template,
     however common it is.  There are fewer such tokens than twice a page's, however many pages a host has.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple[str, bytes]] = set()  # a group of copies is a row per task before the shuffle
         for b in batches:
-            sums: dict[tuple[str, int], list[int]] = {}
+            hosts, digests, tokens, counts, kinds = [], [], [], [], []
             for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                host = host_of(url)
-                mine = xxhash.xxh64_intdigest(f"{url}|{page}")
-                elements, blocks = parse(page or "")
-                for kind, tokens in enumerate((elements, [_text_token(x) for x in blocks])):
-                    for token, count in Counter(tokens).items():
-                        s = sums.setdefault((host, token), [0, 0, kind])
-                        s[0] = (s[0] + count * mine) & 0xFFFFFFFF
-                        s[1] += 1
-                if elements or blocks:
-                    sums.setdefault((host, 0), [0, 0, 0])[1] += 1
+                key = (host_of(url), xxhash.xxh3_128_digest((page or "").encode("utf-8", "surrogatepass")))
+                if not page or key in done:
+                    continue
+                done.add(key)
+                elements, blocks = parse(page)
+                texts = Counter(_text_token(x) for x in blocks)
+                elements = Counter(elements)
+                if elements or texts:
+                    hosts.append(key[0])
+                    digests.append(key[1])
+                    tokens.append([*elements, *texts])
+                    counts.append([*elements.values(), *texts.values()])
+                    kinds.append(len(elements))
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(kinds, pa.int32())], names=["host", "digest", "tokens", "counts", "elements"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums: dict[tuple[str, int], list[int]] = {}
+            for host, digest, tokens, counts, elements in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                mine = int.from_bytes(digest[:8], "little")
+                for k, (token, count) in enumerate(zip(tokens, counts, strict=True)):
+                    s = sums.setdefault((host, token), [0, 0, int(k >= elements)])
+                    s[0] = (s[0] + count * mine) & 0xFFFFFFFF
+                    s[1] += 1
+                sums.setdefault((host, 0), [0, 0, 0])[1] += 1
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([sums[k][j] for k in keys], pa.int64()) for j in range(3))], names=["host", "token", "vector", "n", "kind"])
 
-    counted = source.mapInArrow(run, "host string, token long, vector long, n long, kind long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.max("kind").alias("kind"))
+    distinct = source.mapInArrow(read, "host string, digest binary, tokens array<long>, counts array<int>, elements int").dropDuplicates(["host", "digest"])
+    counted = distinct.mapInArrow(add, "host string, token long, vector long, n long, kind long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.max("kind").alias("kind"))
     counted = saved(counted.where("n > 1"))
     sizes = counted.where("token = 0").select("host", F.col("n").alias("pages"))
     frequent = counted.where("token <> 0").join(sizes, "host").where(F.col("n") >= SUPPORT * F.col("pages"))
     large = frequent.groupBy("host", "vector", "n").agg(F.min("kind").alias("low"), F.max("kind").alias("high")).where("low = 0 AND high = 1")
-    return saved(frequent.join(large, ["host", "vector", "n"]).select("host", "token", F.xxhash64("vector", "n").alias("value"), (F.col("n") / F.col("pages")).alias("share")))
+    return saved(frequent.join(large, ["host", "vector", "n"]).select("host", "token", F.xxhash64("vector", "n").alias("value")))
 
 
 def slots(page: str, classes: dict[int, int]) -> dict[int, tuple[int, int]]:
@@ -267,7 +284,7 @@ def slots(page: str, classes: dict[int, int]) -> dict[int, tuple[int, int]]:
 
 
 def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token, share): each host's template text, for every host with two pages or more.
+    """(host, token): each host's template text, for every host with two distinct pages or more.
 
     That is the text of large and frequent classes that stands in one slot of its class on all pages, in changing
     company: where the longest text beside it is always the same, the pages may be near copies, and nothing shows
@@ -275,7 +292,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
     """
     source = pages.select(F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
     classes = _classes(source)
-    joined, told = _told(source, classes.select("host", "token", "value"))
+    joined, told = _told(source, classes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -289,7 +306,7 @@ def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([seen[k][j] for k in keys], pa.int64()) for j in range(4))], names=["host", "token", "s0", "s1", "c0", "c1"])
 
     found = joined.mapInArrow(run, "host string, token long, s0 long, s1 long, c0 long, c1 long").groupBy("host", "token").agg(F.min("s0").alias("s0"), F.max("s1").alias("s1"), F.min("c0").alias("c0"), F.max("c1").alias("c1"))
-    return found.where("s0 = s1 AND s0 >= 0 AND c0 <> c1").join(classes.select("host", "token", "share"), ["host", "token"]).select("host", "token", "share")
+    return found.where("s0 = s1 AND s0 >= 0 AND c0 <> c1").select("host", "token")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -302,14 +319,14 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     kind = pages.schema[id_col].dataType.simpleString()
     source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    rows = templates(pages, url_col, html_col).select("host", "token", (F.col("share") >= ARTICLE_SUPPORT).cast("long").alias("value"))
+    rows = templates(pages, url_col, html_col).withColumn("value", F.lit(1))
     joined, told = _told(source, saved(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
             for page, known in zip(b.column(2).to_pylist(), told(b), strict=True):
-                out.append(main_text(page or "", frozenset(known), frozenset(k for k, v in known.items() if v)))
+                out.append(main_text(page or "", known.keys()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["_id", "_url", "text"])
 
     return joined.mapInArrow(run, f"_id {kind}, _url string, text string").select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

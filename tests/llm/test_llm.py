@@ -183,6 +183,18 @@ def test_template_needs_a_class_not_a_host_size(spark, rows, monkeypatch):
     assert got[29:] == [f"One title\na long text that both near copies share\nedit {k}" for k in range(2)]
 
 
+def test_copies_and_frequent_passages_are_no_template(spark):
+    copy = "<body><article><h1>Copied</h1><p>one article</p></article></body>"
+    bare = "<body><h1>Copied too</h1><div class=t><p>without an article element</p></div></body>"
+    pages = [(f"http://a.example/{k}", copy if k < 27 else f"<body><article><h1>T {k}</h1><p>text {k}</p></article></body>") for k in range(30)]
+    pages += [(f"http://b.example/{k}", bare if k < 27 else f"<body><h2>T {k}</h2><p>text {k}</p></body>") for k in range(30)]
+    pages += [(f"http://c.example/{k}", f"<body><article><p>text {k}</p><p class=q>the same passage</p></article></body>") for k in range(30)]
+    got = _texts(spark, pages)
+    assert got[:27] == ["Copied\none article"] * 27 and got[27] == "T 27\ntext 27"
+    assert got[30:57] == ["Copied too\nwithout an article element"] * 27 and got[59] == "T 29\ntext 29"
+    assert got[60:] == [f"text {k}\nthe same passage" for k in range(30)]
+
+
 def brute_dedup(rows):
     n, seen = suffix_dedup.WINDOW, Counter()
     for _, t in rows:
