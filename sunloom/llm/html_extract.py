@@ -7,7 +7,7 @@ are grouped into equivalence classes by plain sums, without gathering pages.
 Large and frequent classes make up the host's template: their elements nest as
 the pages do, and a text of the class that always stands in one slot between
 them is template text.  All other text lies in the slots.  The main text is
-that of the article (the article or main element; without one, of all slots)
+that of the article (all article and main elements; without one, of all slots)
 less everything in it that is a menu, form, notice, advert, comment and so on.
 """
 
@@ -53,7 +53,7 @@ def _attributes(raw: str) -> dict[str, str]:
 class Block:
     __slots__ = ("at", "dropped", "main", "path", "text")
 
-    def __init__(self, path: int, dropped: bool, main: int, text: str, at: int):
+    def __init__(self, path: int, dropped: bool, main: bool, text: str, at: int):
         self.path, self.dropped, self.main, self.text, self.at = path, dropped, main, text, at
 
 
@@ -70,16 +70,16 @@ def _outside(tag: str, a: dict[str, str], in_main: bool) -> bool:
 def parse(page: str) -> tuple[list[int], list[Block]]:
     """The paths (hashes) of a page's elements in order, and its text blocks.
 
-    A block's `main` is the number of its article or main element (0: none), `at` the number of elements that begin
-    before it.  Unclosed and misnested tags are closed as
-    browsers do for paragraphs, list items and table parts; stray end tags are ignored.
+    A block's `main` says whether it is in an article or main element, `at` is the number of elements that begin
+    before it.  Unclosed and misnested tags are closed as browsers do for paragraphs, list items and table parts; stray
+    end tags are ignored.
     """
     elements: list[int] = []
     blocks: list[Block] = []
     # open elements: (tag, path, dropped, main)
-    stack: list[tuple[str, int, bool, int]] = [("", 0, False, 0)]
+    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]
     text: list[str] = []
-    mains, at, n, begun = 0, 0, len(page), 0
+    at, n, begun = 0, len(page), 0
 
     def flush() -> None:
         if text:
@@ -147,15 +147,11 @@ def parse(page: str) -> tuple[list[int], list[Block]]:
             if tag in ("br", "hr"):
                 text.append(" ")
             continue
-        out = _outside(tag, a, main > 0)
+        out = _outside(tag, a, main)
         if out != dropped and out:
             flush()
         if not main and not dropped and not out and (tag in ("article", "main") or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "").lower() in _MAIN_NAMES):
-            mains += 1
-            main = mains
-        elif main and tag == "article" and not dropped and not out and stack[-1][0] != "article" and not any(x[0] == "article" for x in stack):
-            mains += 1  # an article inside main
-            main = mains
+            main = True
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else n
@@ -180,13 +176,9 @@ def main_text(page: str, template: Collection[int] = ()) -> str:
     """The main text of a page, given its host's template text tokens; nothing goes from an article for being common."""
     _, blocks = parse(page)
     kept = [b for b in blocks if not b.dropped]
-    size: Counter = Counter()
-    for b in kept:
-        size[b.main] += len(b.text)
-    articles = {k: v for k, v in size.items() if k}
-    if articles:
-        best = max(articles, key=lambda k: (articles[k], -k))
-        return "\n".join(b.text for b in kept if b.main == best)
+    # Without text in them they say nothing about where the page has its own.
+    if any(b.main for b in kept):
+        return "\n".join(b.text for b in kept if b.main)
     return "\n".join(b.text for b in kept if not template or _text_token(b) not in template)
 
 

@@ -195,6 +195,18 @@ def test_copies_and_frequent_passages_are_no_template(spark):
     assert got[60:] == [f"text {k}\nthe same passage" for k in range(30)]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<body>x<main><h1>Title</h1><p>lead</p><article>body text</article><p>end</p></main></body>", "Title\nlead\nbody text\nend"),
+        ("<article><p>the longer of two</p></article><p>between</p><article><p>short</p></article>", "the longer of two\nshort"),
+        ("<main><article>one<section class=comments><article>reader</article></section></article><article>two</article></main>", "one\ntwo"),
+    ],
+)
+def test_all_main_groups(page, text):
+    assert html_extract.main_text(page) == text
+
+
 def brute_dedup(rows):
     n, seen = suffix_dedup.WINDOW, Counter()
     for _, t in rows:
