@@ -17,11 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hashed character trigrams; the model is this many floats per language.
+#: Hashed character trigrams; the model holds those that a language has.
 CELLS = 1 << 16
 PENALTY = 12.0
-#: Languages learned at most: those with most training documents.
-MAX_LANGS = 64
+#: Languages whose dense sums a task of the fit holds at once; before another one it emits them and starts anew.
+HELD_LANGS = 64
 _RANGES = [(0x41, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0x590, 0x5FF), (0x600, 0x77F), (0x900, 0x97F), (0xE00, 0xE7F), (0x1100, 0x11FF), (0x3040, 0x30FF), (0x3400, 0x9FFF), (0xAC00, 0xD7AF), (0x1E00, 0x1EFF)]
 _SAME = {12: 0, 8: 11}
 SCRIPTS = len(_RANGES) + 1
@@ -74,12 +74,12 @@ class Words:
         self.scripts = Words.script[low[self.starts]] if n else np.zeros(0, np.int8)
 
 
-def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
+def _blocks(column: pa.Array, most: int = _CHUNK) -> Iterator[tuple[int, list[str]]]:
     first, held, size = 0, [], 0
     for k, x in enumerate(column):
         held.append(x.as_py() or "")
         size += len(held[-1])
-        if size >= _CHUNK:
+        if size >= most:
             yield first, held
             first, held, size = k + 1, [], 0
     if held:
@@ -87,16 +87,24 @@ def _blocks(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
 
 
 class Model:
-    def __init__(self, langs: list[str], logs: np.ndarray, allowed: np.ndarray):
-        self.langs, self.logs, self.allowed = langs, logs.astype(np.float32), allowed
+    """Languages, their trigrams' log-likelihoods and the scripts' languages, SCRIPTS by languages.
+
+    logs: for each language the value of the cells that it lacks, its cells and their values.
+    """
+
+    def __init__(self, langs: list[str], logs: list[tuple[np.float32, np.ndarray, np.ndarray]], allowed: np.ndarray):
+        self.langs, self.logs, self.allowed = langs, logs, allowed
 
     def scores(self, w: Words) -> np.ndarray:
         """Words by languages: mean-free log-likelihoods; a language outside the word's script is far behind."""
         out = np.empty((len(w.size), len(self.langs)), np.float32)
         if not self.langs:
             return out
-        for k in range(len(self.langs)):
-            total = np.concatenate(([0.0], np.cumsum(self.logs[k][w.cells], dtype=np.float64)))
+        dense = np.empty(CELLS, np.float32)
+        for k, (lacking, cells, values) in enumerate(self.logs):
+            dense[:] = lacking
+            dense[cells] = values
+            total = np.concatenate(([0.0], np.cumsum(dense[w.cells], dtype=np.float64)))
             out[:, k] = total[w.cuts[1:]] - total[w.cuts[:-1]]
         narrowed = self.allowed[w.scripts]
         known = narrowed.any(1)
@@ -151,39 +159,63 @@ class Model:
 def fit(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Model:
     """A Model from every row of train with a text and a language.
 
-    Each task adds up its trigram cells per language; the table of sums has CELLS rows a language at most.
+    Every language is learned.  Each task adds up its trigram cells per language, HELD_LANGS at a time; the table of
+    sums has the cells that a language holds, CELLS and SCRIPTS at most.
     """
     rows = train.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).cast("string").alias("_text"), F.col(lang_col).cast("string").alias("_lang"))
-    langs = sorted(r["_lang"] for r in rows.groupBy("_lang").count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGS).collect())
     width = CELLS + SCRIPTS
 
+    def emit(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
+        for x, own in sums.items():
+            at = np.flatnonzero(own)
+            yield pa.RecordBatch.from_arrays([pa.array([x] * (len(at) + 1), pa.string()), pa.array(np.append(at, width)), pa.array(np.append(own[at], 0.0))], names=["lang", "cell", "n"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {x: k for k, x in enumerate(langs)}
-        sums = np.zeros((len(langs), width))
+        sums: dict[str, np.ndarray] = {}
         for b in batches:
             lang = b.column(1).to_pylist()
             for first, texts in _blocks(b.column(0)):
                 w = Words(texts)
-                of = np.array([place.get(x, -1) for x in lang[first : first + len(texts)]])
-                word_lang = np.repeat(of, np.diff(w.offs))
+                mine = lang[first : first + len(texts)]
+                names = sorted(set(mine))
+                place = {x: k for k, x in enumerate(names)}
+                word_lang = np.repeat(np.array([place[x] for x in mine]), np.diff(w.offs))
                 cell_lang = np.repeat(word_lang, w.size)
-                for k in np.unique(of[of >= 0]):
-                    sums[k, :CELLS] += np.bincount(w.cells[cell_lang == k], minlength=CELLS)
-                    sums[k, CELLS:] += np.bincount(w.scripts[word_lang == k], minlength=SCRIPTS)
-        for k, x in enumerate(langs):
-            at = np.flatnonzero(sums[k])
-            yield pa.RecordBatch.from_arrays([pa.array([x] * len(at), pa.string()), pa.array(at, pa.int64()), pa.array(sums[k][at])], names=["lang", "cell", "n"])
-
-    counts = np.zeros((len(langs), width))
-    if langs:
-        got = rows.mapInArrow(run, "lang string, cell long, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
-        place = {x: k for k, x in enumerate(langs)}
-        np.add.at(counts, (np.array([place[x] for x in got["lang"].to_pylist()], dtype=np.int64), got["cell"].to_numpy()), got["n"].to_numpy())
-    cells, scripts = counts[:, :CELLS], counts[:, CELLS:]
-    smooth = cells + 0.05
-    logs = np.log(smooth / smooth.sum(1, keepdims=True)) if langs else np.zeros((0, CELLS))
-    share = scripts / np.maximum(scripts.sum(1, keepdims=True), 1)
-    return Model(langs, logs, (share >= 0.01).T if langs else np.zeros((SCRIPTS, 0), bool))
+                # The words and cells of a language side by side, so that many languages take one pass.
+                by_word, by_cell = np.argsort(word_lang, kind="stable"), np.argsort(cell_lang, kind="stable")
+                word_cut, cell_cut = (np.searchsorted(x, np.arange(len(names) + 1), sorter=y) for x, y in ((word_lang, by_word), (cell_lang, by_cell)))
+                for k, x in enumerate(names):
+                    if x not in sums:
+                        if len(sums) >= HELD_LANGS:
+                            yield from emit(sums)
+                            sums.clear()
+                        sums[x] = np.zeros(width)
+                    sums[x][:CELLS] += np.bincount(w.cells[by_cell[cell_cut[k] : cell_cut[k + 1]]], minlength=CELLS)
+                    sums[x][CELLS:] += np.bincount(w.scripts[by_word[word_cut[k] : word_cut[k + 1]]], minlength=SCRIPTS)
+        yield from emit(sums)
+
+    # (A language's row of cell `width` stands for itself, also if its texts have no word.)
+    got = rows.mapInArrow(run, "lang string, cell long, n double").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toArrow()
+    name, cell, n = got["lang"].combine_chunks().dictionary_encode(), got["cell"].to_numpy(), got["n"].to_numpy()
+    if isinstance(name, pa.ChunkedArray):
+        name = name.combine_chunks()
+    code, found = name.indices.to_numpy(zero_copy_only=False), name.dictionary.to_pylist()
+    order = np.argsort(code, kind="stable")
+    cut = np.searchsorted(code, np.arange(len(found) + 1), sorter=order)
+    ranked = sorted(range(len(found)), key=lambda k: found[k])
+    logs, allowed = [], np.zeros((SCRIPTS, len(found)), bool)
+    for j, k in enumerate(ranked):
+        at = order[cut[k] : cut[k + 1]]
+        at = at[cell[at] < width]
+        own = np.zeros(width)
+        own[cell[at]] = n[at]
+        smooth = own[:CELLS] + 0.05
+        values = np.log(smooth / smooth.sum()).astype(np.float32)
+        cells = np.flatnonzero(own[:CELLS])
+        logs.append((np.float32(np.log(0.05 / smooth.sum())), cells.astype(np.uint16), values[cells]))
+        scripts = own[CELLS:]
+        allowed[:, j] = scripts / max(scripts.sum(), 1) >= 0.01
+    return Model([found[k] for k in ranked], logs, allowed)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", spans: bool = False) -> DataFrame:
@@ -194,12 +226,14 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     null and repeated ids keep their rows.
     """
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # MAX_LANGS * CELLS floats at most
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # the cells that each language holds
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int64()), ("last", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Scores are words by languages: beyond 64 languages fewer words at once.
+        most = min(_CHUNK, _CHUNK * 64 // max(len(shared.value.langs), 1))
         for b in batches:
-            got = [x for _, texts in _blocks(b.column(1)) for x in shared.value.predict(texts, spans)]
+            got = [x for _, texts in _blocks(b.column(1), most) for x in shared.value.predict(texts, spans)]
             columns = [b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())]
             if spans:
                 columns.append(pa.array([[{"lang": a, "first": f, "last": l} for a, f, l in x[2]] for x in got], span_type))

@@ -143,6 +143,16 @@ def test_language_id(spark):
     assert langid.identify(frame(spark, ["abc"]), langid.fit(train.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_every_language_is_learned(spark):
+    # 65 languages with two texts each, and one more with a single text: each has words of its own letters only.
+    pairs = [(a, b) for a in "bcdfghjklm" for b in "npqrstv"][:66]
+    rows = [(f"{a}a{b}o {b}e{a}i {a}{b}u{b}{a}", f"l{k:02}") for k, (a, b) in enumerate(pairs) for _ in range(2 if k < 65 else 1)]
+    model = langid.fit(spark.createDataFrame(rows, "text string, lang string").repartition(2))
+    assert model.langs == [f"l{k:02}" for k in range(66)]
+    got = langid.identify(frame(spark, [t for t, _ in rows]), model).orderBy("doc_id").collect()
+    assert [r["lang_pred"] for r in got] == [x for _, x in rows]
+
+
 @pytest.mark.parametrize(
     ("page", "text"),
     [
