@@ -3,9 +3,9 @@
 Letters' script ranges say which of the learned languages a word may belong to.
 A word's score for each is its naive-Bayes log-likelihood over hashed character
 trigrams.  Viterbi with a switching penalty labels every word; the language with
-most letters is the document's.  A text in which no stretch of words gains more
-than the penalty in another language has one span, and is told so without the
-word-by-word search.
+most letters is the document's.  A text in which no stretch of words gains as
+much as its switches cost has one span, and is told so without the word-by-word
+search.
 """
 
 from __future__ import annotations
@@ -116,11 +116,17 @@ class Model:
         return out
 
     def label(self, scores: np.ndarray) -> np.ndarray:
-        """The language of each word of one text."""
+        """The language of each word of one text.
+
+        Each switch is paid half by the stretch before it and half by the one after it, so a stretch at either end of the
+        text pays half a penalty and one between others a whole one.  If none gains that much over the language that is
+        best overall, no labelling with switches is as good as that language alone, whether or not it uses it.
+        """
         best = int(np.argmax(scores.sum(0)))
         gain = scores - scores[:, best : best + 1]
         run = np.concatenate((np.zeros((1, gain.shape[1])), np.cumsum(gain, 0, dtype=np.float64)))
-        if ((run - np.minimum.accumulate(run, 0)).max(0) <= PENALTY).all():
+        ends = np.maximum(run.max(0), (run[-1] - run).max(0))
+        if (ends < PENALTY / 2).all() and ((run - np.minimum.accumulate(run, 0)).max(0) < PENALTY).all():
             return np.full(len(scores), best)
         value, back = scores[0].astype(np.float64), np.empty(scores.shape, np.int32)
         here = np.arange(scores.shape[1])

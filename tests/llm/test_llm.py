@@ -143,6 +143,27 @@ def test_language_id(spark):
     assert langid.identify(frame(spark, ["abc"]), langid.fit(train.limit(0))).first()["lang_pred"] == "und"
 
 
+def test_language_shortcut_is_viterbi():
+    def viterbi(scores):
+        value, paths = scores[0].astype(float), [[k] for k in range(scores.shape[1])]
+        for row in scores[1:]:
+            move = value[:, None] - langid.PENALTY * (1 - np.eye(len(row)))
+            of = move.argmax(0)
+            value, paths = move.max(0) + row, [paths[of[k]] + [k] for k in range(len(row))]
+        return value.max(), paths[int(value.argmax())]
+
+    model = langid.Model(["a", "b", "c"], [], np.ones((1, 3), bool))
+    two = np.array([[0, -8, -1]] * 10 + [[-8, 0, -1]] * 10, np.float32)
+    assert model.label(two).tolist() == [0] * 10 + [1] * 10
+    rng = np.random.default_rng(4)
+    for _ in range(400):
+        scores = -rng.random((rng.integers(1, 30), 3)) * rng.choice([0.5, 2, 6])
+        scores = (scores + np.repeat(-rng.random((6, 3)) * 2, 5, 0)[: len(scores)]).astype(np.float32)
+        got = model.label(scores)
+        total = scores[np.arange(len(got)), got].astype(float).sum() - langid.PENALTY * (np.diff(got) != 0).sum()
+        assert total == pytest.approx(viterbi(scores)[0], abs=1e-4)
+
+
 def test_every_language_is_learned(spark):
     # 65 languages with two texts each, and one more with a single text: each has words of its own letters only.
     pairs = [(a, b) for a in "bcdfghjklm" for b in "npqrstv"][:66]
