@@ -44,9 +44,13 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
-def items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(item, m words, q words a shingle, idx, gram): every shingle of every item that has words."""
-    base = benchmark.select(F.col(id_col).alias("item"), _words(text_col).alias("iw")).where("item IS NOT NULL AND iw IS NOT NULL").dropDuplicates(["item"])
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
+
+
+def items(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """(item, m words, q words a shingle, idx, gram): every shingle of every distinct text that has words; item: its digest."""
+    base = benchmark.select(_digest(text_col).alias("item"), _words(text_col).alias("iw")).where("iw IS NOT NULL").dropDuplicates(["item"])
     base = base.withColumn("m", F.size("iw")).withColumn("q", F.least(F.col("m"), F.lit(SHINGLE)))
     return base.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("q")))).withColumn("gram", _gram("iw", "idx", "q"))
 
@@ -59,7 +63,7 @@ def windows(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFr
     # (explode_outer, since for explode the planner would add filters that split the text twice more.)
     # Per word first: one lookup of a word gives the places it can have in shingles, and only then the items.
     spots = table.select("word", "off", "q", "gram").distinct()
-    text = docs.select(F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))).alias("key"), _words(text_col).alias("words"))
+    text = docs.select(_digest(text_col).alias("key"), _words(text_col).alias("words"))
     at = F.col("pos") - F.col("off")
     hits = text.select("key", "words", F.posexplode_outer("words").alias("pos", "word")).join(_sized(spots), "word")
     hits = hits.where((at >= 0) & (at + F.col("q") <= F.size("words"))).where(_gram("words", at, "q") == F.col("gram")).select("key", "words", at.alias("at"), "q", "gram")
@@ -80,14 +84,14 @@ def _simhash(counted: DataFrame, keys: list[str]) -> DataFrame:
     return summed.select(*keys, "total", print_.alias("print"))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """(key, item, similarity, start, distance): for each text (md5 of its bytes) and item the most similar window of 0.8 or more.
+def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
+    """(key, item, similarity, start, distance): for each text and item (md5 of their bytes) the most similar window of 0.8 or more.
 
     Similarity: weighted Jaccard over five-word shingles (of all words, for an item of fewer) of the window and the item,
     lower-cased.  Among equals the first window; start counts words from 0.  Null texts, and texts and items without a
-    word, match nothing; of items with one id one is taken; an empty table gives an empty result.
+    word, match nothing; an empty table gives an empty result.  Items are told apart by their texts, whatever their ids.
     """
-    grams = items(benchmark, item_col, item_text_col)
+    grams = items(benchmark, item_text_col)
     keys = ["key", "item", "start"]
     found = windows(docs, grams, text_col).join(_sized(grams.select("item", "q").distinct()), "item")
     shingles = found.where(F.size("window") >= F.col("q")).select(*keys, "window", "q", F.explode(F.sequence(F.lit(0), F.size("window") - F.col("q"))).alias("i")).select(*keys, _gram("window", "i", "q").alias("gram"))
@@ -109,14 +113,18 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs and item that a window of its text matches: id_col, item_id, similarity, start, distance."""
+    """One row per row of docs and item that a window of its text matches: id_col, item_id, similarity, start, distance.
+
+    An item is a distinct pair of item_id, null too, and text: an id with two texts that both match has two rows.
+    """
     found = contaminated(docs, benchmark, text_col)
-    rows = docs.select(F.col(id_col).alias("_id"), F.unhex(F.md5(F.col(text_col).cast("string").cast("binary"))).alias("key"))
-    return rows.join(found, "key").select(F.col("_id").alias(id_col), F.col("item").alias("item_id"), "similarity", F.col("start").cast("long").alias("start"), F.col("distance").cast("long").alias("distance"))
+    rows = docs.select(F.col(id_col).alias("_id"), _digest(text_col).alias("key"))
+    named = benchmark.select(F.col("item_id"), _digest("text").alias("item")).where("item IS NOT NULL").distinct()
+    return rows.join(found, "key").join(_sized(named), "item").select(F.col("_id").alias(id_col), "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("distance").cast("long").alias("distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """docs, all columns, without the rows whose text matches an item."""
     keys = contaminated(docs, benchmark, text_col).select("key").distinct()
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), F.unhex(F.md5(F.col(f"`{text_col}`").cast("string").cast("binary"))).alias("digest"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"), _digest(f"`{text_col}`").alias("digest"))
     return rows.join(keys, F.col("digest") == F.col("key"), "left_anti").select("doc.*")

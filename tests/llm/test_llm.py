@@ -115,6 +115,15 @@ def test_decontamination(spark, texts):
     assert decontaminate.matches(frame(spark, docs), bench.limit(0)).count() == 0
 
 
+def test_decontamination_keeps_items_with_repeated_and_null_ids(spark):
+    passage = [" ".join(f"{x}{k}" for k in range(30)) for x in "abc"]
+    bench = spark.createDataFrame([(1, passage[0]), (1, passage[1]), (1, passage[1]), (2, passage[1]), (None, passage[2])], "item_id long, text string")
+    df = frame(spark, [*passage, "something else"])
+    got = sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.matches(df, bench).collect()), key=str)
+    assert got == [(0, 1), (1, 1), (1, 2), (2, None)]
+    assert [r["doc_id"] for r in decontaminate.drop_contaminated(df, bench).collect()] == [3]
+
+
 def test_top_k(spark, monkeypatch):
     rng = np.random.default_rng(1)
     centres = rng.normal(size=(12, 16))
