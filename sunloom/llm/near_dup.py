@@ -8,11 +8,11 @@ earliest dart.  Equal coordinates estimate the weighted Jaccard similarity.
 
 Documents with the same words in the same order are one text from the start.
 Texts that share a band bucket and agree in enough coordinates form candidate
-groups; inside a group every pair that shares a band and is not yet linked is
-verified by the exact weighted similarity.  A group too large for one task is
-cut into blocks and each pair of blocks is verified by its own task, so nothing
-is dropped; the links found (a forest per task) are joined by a distributed
-connected-components pass.
+groups; inside a group every pair that agrees in enough coordinates is verified
+by the exact weighted similarity.  A group too large for one task is cut into
+blocks and each pair of blocks is verified by its own task, so nothing is
+dropped; each task counts every text's verified links and gives a forest of
+them to a distributed connected-components pass.
 """
 
 from __future__ import annotations
@@ -148,15 +148,23 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), keys, sigs], names=["bucket", "key", "sig"])
 
 
-def _links(sig: np.ndarray, left: range, right: range, similar: Callable[[int, np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs (one of left, one of right) that agree in enough coordinates and are similar."""
+def _links(sig: np.ndarray, left: range, right: range, similar: Callable[[int, np.ndarray], np.ndarray] | None = None, number: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (one of left, one of right) that agree in enough coordinates and are similar.
+
+    With number, all pairs are looked at and added up in it for both ends; without it, not those already connected.
+    """
     tree, out = np.arange(len(sig)), []
     for x in left:
         ys = np.arange(x + 1 if left == right else right.start, right.stop)
-        ys = ys[tree[ys] != tree[x]]
+        if number is None:
+            ys = ys[tree[ys] != tree[x]]
         ys = ys[(sig[ys] == sig[x]).mean(1) >= LEAST_AGREEMENT] if len(ys) else ys
         if len(ys) and similar:
             ys = ys[similar(x, ys)]
+        if number is not None:
+            number[x] += len(ys)
+            number[ys] += 1
+            ys = ys[tree[ys] != tree[x]]
         if len(ys):
             _, first = np.unique(tree[ys], return_index=True)
             out += [(x, int(y)) for y in ys[first]]
@@ -194,7 +202,7 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(t: pa.Table) -> pa.Table:
-    """The texts of one group, or of two blocks of it -> verified links, a forest."""
+    """The texts of one group, or of two blocks of it -> verified links: a forest (a, b), and each text's number (a, null, n)."""
     side = np.array(t["side"].to_pylist())
     order = np.argsort(side, kind="stable")
     t, side = t.take(pa.array(order)), side[order]
@@ -234,12 +242,17 @@ def _verify(t: pa.Table) -> pa.Table:
     n0 = int((side == 0).sum())
     left, right = range(n0), range(n0, len(side)) if n0 < len(side) else range(n0)
     keys = t["key"].to_pylist()
-    found = _links(sig, left, right, similar)
-    return pa.table({"a": pa.array([keys[x] for x, _ in found], pa.binary()), "b": pa.array([keys[y] for _, y in found], pa.binary())})
+    number = np.zeros(len(side), np.int64)
+    found = _links(sig, left, right, similar, number)
+    some = np.flatnonzero(number).tolist()
+    return pa.table({"a": pa.array([keys[x] for x, _ in found] + [keys[x] for x in some], pa.binary()), "b": pa.array([keys[y] for _, y in found] + [None] * len(some), pa.binary()), "n": pa.array([0] * len(found) + number[some].tolist(), pa.int64())})
 
 
 def text_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(a, b): keys of texts whose weighted similarity is THRESHOLD or more; texts of one class are connected by them."""
+    """(a, b, n): keys of texts whose weighted similarity is THRESHOLD or more; texts of one class are connected by them.
+
+    Rows without b give numbers n of the links of a text; its numbers add up to all its links.
+    """
     source = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("key", text_key("text")).where("key IS NOT NULL").select("key", "text")
     parts = max(partitions(source, 16.0), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     near = source.mapInArrow(_sign, "bucket long, key binary, sig binary").repartition(parts, "bucket").mapInArrow(_candidates, "a binary, b binary")
@@ -251,13 +264,13 @@ def text_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     dealt = dealt.select("key", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
     texts = source.mapInArrow(_once, "key binary, text string").join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
-    return dealt.join(texts, "key").select("grp", "i", "j", "side", "key", "text").groupBy("grp", "i", "j").applyInArrow(_verify, "a binary, b binary")
+    return dealt.join(texts, "key").select("grp", "i", "j", "side", "key", "text").groupBy("grp", "i", "j").applyInArrow(_verify, "a binary, b binary, n long")
 
 
 def _classes(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(_id, _key) of every row, and per text: _key, _class, _links (a verified forest's), _n (copies), _least (their smallest id)."""
+    """(_id, _key) of every row, and per text: _key, _class, _links (to other texts), _n (copies), _least (their smallest id)."""
     links = saved(text_links(docs, text_col))
-    ends = links.select(F.col("a").alias("_key")).union(links.select("b")).groupBy("_key").agg(F.count("*").alias("_links"))
+    ends = links.where("b IS NULL").groupBy(F.col("a").alias("_key")).agg(F.sum("n").alias("_links"))
     member = components(links).withColumnsRenamed({"node": "_key", "root": "_root"}).join(ends, "_key")
     keyed = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("_key"))
     texts = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.count("*").alias("_n"), F.min("_id").alias("_least"))
@@ -268,8 +281,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per row of docs: id_col, class_id (the smallest id of its class), class_size, links.
 
     A class is a connected component of the pairs of texts whose weighted Jaccard similarity over five-word shingles is
-    0.8 or more, with all copies of a text.  links counts the verified links of the row's text to other texts (those of
-    a spanning forest) plus its other copies.  A text of one to four words is one shingle; texts without words (the
+    0.8 or more, with all copies of a text.  links counts the other texts that the row's text is so similar to, plus its
+    other copies.  A text of one to four words is one shingle; texts without words (the
     empty one too) are only like their exact copies; a null text is like nothing and its row is a class of its own.
     Null ids come after all others, so class_id is null only if all ids of the class are.
     """

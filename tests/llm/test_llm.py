@@ -356,6 +356,15 @@ def test_near_duplicates(spark, texts):
     assert near_dup.keep_representatives(df.union(df)).where("text IS NOT NULL").count() == len([k for k in kept if every[k] is not None])
 
 
+@pytest.mark.parametrize("block", [2000, 9])
+def test_near_duplicates_count_all_links(spark, block, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_TEXTS", block)
+    base = [f"w{k}" for k in range(400)]
+    df = frame(spark, [" ".join([*base, f"own{k}"]) for k in range(30)] + [" ".join([*base, "own0"]), "far away", None])
+    rows = near_dup.near_duplicates(df).orderBy("doc_id").collect()
+    assert [r["links"] for r in rows] == [30, *[29] * 29, 30, 0, 0] and [r["class_id"] for r in rows] == [0] * 31 + [31, 32]
+
+
 def test_signatures_estimate_similarity():
     rng = np.random.default_rng(0)
     g = np.sort(rng.integers(0, 2**63, 400, dtype=np.int64).astype(np.uint64))
