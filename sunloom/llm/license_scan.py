@@ -167,7 +167,7 @@ class Scanner:
                 out["n_words"].append(int(wo[d + 1] - wo[d]))
                 out["n_base"].append(len(base))
                 out["first_word"].append(min((x[0] for x in base), default=None))
-                out["last_word"].append(max((x[1] for x in base), default=None))
+                out["last_word"].append(max((x[0] for x in base), default=None))
                 out["base_labels"].append(",".join(sorted(labels)))
                 out["labels"].append(",".join(sorted(labels | {self.names[s[0]] for s in spans})))
                 out["score"].append(max([0.5 * bool(base), *(s[3] / self.sizes[s[0]] for s in spans)]))
@@ -178,7 +178,7 @@ class Scanner:
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, phrases: dict[str, str] | None = None) -> DataFrame:
     """One row per row of docs: id_col, n_words, n_base, first_word, last_word, base_labels, labels, score, spans.
 
-    n_base counts the places of the base phrases, first_word and last_word are their smallest start and largest end
+    n_base counts the places of the base phrases, first_word and last_word are their smallest and largest start
     (null without one).  spans holds the chains of template matches that cover 60 % of the template, or 12 words of a
     long one; their templates join the base labels in `labels`.  score: the largest covered share of a template, at
     least 0.5 with a base phrase, else 0.  Null is the empty text, which has no words, labels or spans.  Repeated rows

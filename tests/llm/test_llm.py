@@ -71,7 +71,7 @@ def test_license_scan(spark, texts):
             found += [(i, i + len(p) - 1, label) for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
         r = got[k]
         assert (r["n_words"], r["n_base"]) == (len(w), len(found))
-        assert r["first_word"] == min((f[0] for f in found), default=None) and r["last_word"] == max((f[1] for f in found), default=None)
+        assert r["first_word"] == min((f[0] for f in found), default=None) and r["last_word"] == max((f[0] for f in found), default=None)
         assert r["base_labels"] == ",".join(sorted({f[2] for f in found})) and set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
     assert "apache-2.0" in got[len(texts) + 1]["labels"]
 
