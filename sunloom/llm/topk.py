@@ -79,7 +79,8 @@ def dual_search(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray
     while heap:
         up, _, a, b = heapq.heappop(heap)
         worst = best[a.points, k - 1].min()
-        if worst > low and math.floor(-up * (1 + 1e-9) + 1e-6) < worst >> 20:
+        # (The slack is for rounding; it raises a bound of either sign, so a pair that can only tie is looked at too.)
+        if worst > low and math.floor(-up + 1e-9 * abs(up) + 1e-6) < worst >> 20:
             continue
         if a.children or b.children:
             for x in (a.children if a.children and (a.radius >= b.radius or not b.children) else [a]):
