@@ -26,13 +26,13 @@ _RANGES = [(0x41, 0x24F), (0x370, 0x3FF), (0x400, 0x52F), (0x530, 0x58F), (0x590
 _SAME = {12: 0, 8: 11}
 SCRIPTS = len(_RANGES) + 1
 _CHUNK = 1 << 18
+_POINTS = 0x110000
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point of the basic plane: is it a letter, and its script (the last number: any other)."""
-    codes = np.arange(0x10000)
-    letter = np.array([chr(c).isalpha() for c in codes])
-    script = np.full(0x10000, SCRIPTS - 1, np.int8)
+    """By code point: is it a letter, and its script (the last number: any other)."""
+    letter = np.array([chr(c).isalpha() for c in range(_POINTS)])
+    script = np.full(_POINTS, SCRIPTS - 1, np.int8)
     for k, (a, b) in enumerate(_RANGES):
         script[a : b + 1] = _SAME.get(k, k)
     return letter, script
@@ -54,8 +54,7 @@ class Words:
         if Words.letter is None:
             Words.letter, Words.script = _tables()
         codes, offs = _codes(texts)
-        low = np.minimum(codes, 0xFFFF)
-        inside = Words.letter[low] | (codes > 0xFFFF) & (codes < 0x1F000) | (codes >= 0x20000) & (codes < 0x32000)
+        inside = Words.letter[codes]
         n = len(codes)
         before, after = np.zeros(n, bool), np.zeros(n, bool)
         before[1:], after[:-1] = inside[:-1], inside[1:]
@@ -71,7 +70,7 @@ class Words:
         key *= np.uint64(0x94D049BB133111EB)
         self.cells = (key >> np.uint64(48)).astype(np.int32)[inside]
         self.cuts = np.concatenate(([0], np.cumsum(self.size)))
-        self.scripts = Words.script[low[self.starts]] if n else np.zeros(0, np.int8)
+        self.scripts = Words.script[codes[self.starts]] if n else np.zeros(0, np.int8)
 
 
 def _blocks(column: pa.Array, most: int = _CHUNK) -> Iterator[tuple[int, list[str]]]:

@@ -13,3 +13,9 @@ def test_top_k_ties_of_negative_scores(spark):
     df = spark.createDataFrame([(int(i), list(v)) for i, v in rows], "vec_id long, embedding array<float>")
     got = [r["vec_id"] for r in topk.top_k(df).where("query_id = 50").orderBy("rank").collect()]
     assert got == [101, 102, 103, 104, 105]
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    model = langid.Model(["aa"], [(np.float32(-1), np.zeros(0, np.uint16), np.zeros(0, np.float32))], np.ones((langid.SCRIPTS, 1), bool))
+    got = [x[0] for x in model.predict(["\U0001d11e", "\U0001d7ce 12", "\U0001f600", "\U00010400", "\U00020000", "x"])]
+    assert got == ["und", "und", "und", "aa", "aa", "aa"]
