@@ -21,17 +21,35 @@ def partitions(df: DataFrame, per_mb: float) -> int:
     return max(4, math.ceil(size / per_mb / 1e6))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written to the reliable checkpoint folder, so that later jobs neither repeat nor lose it.
+def shared_folder(spark: SparkSession) -> str:
+    """The reliable folder of the session: its checkpoint folder, else the cluster's spark.checkpoint.dir.
 
-    The folder is the cluster's spark.checkpoint.dir; only where that is unset (local tests) a temporary one is made.
+    Only a session inside one process (local tests), where that is unset, gets a temporary one; on a cluster other
+    machines would not see it, so that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="checkpoints-")
+        sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """df written to the session's reliable folder, so that later jobs neither repeat nor lose it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def removed(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder on whatever file system it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, root): each node of an edge list with the smallest node of its connected component.
 
