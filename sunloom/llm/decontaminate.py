@@ -14,18 +14,21 @@ with similarity 0.8, so practically no such pair is beyond it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 #: What stands between words: ASCII other than letters and digits.
 _NOT_WORD = "".join(map(chr, [*range(0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]))
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE, THRESHOLD = 5, 0.8
 RADIUS, BLOCKS = 23, 8
-#: Largest estimated size of the benchmark that is sent to every task; a larger one is joined by shuffles.
-BROADCAST_BYTES = 16 << 20
+#: Most shingles of a benchmark (and most of its items) that are sent to every task; a larger one is joined by shuffles.
+BROADCAST_ROWS = 200_000
 
 
 def _words(text_col: str) -> Column:
@@ -39,9 +42,9 @@ def _gram(words: str, at: Column | str, size: Column | str) -> Column:
     return F.xxhash64(F.concat_ws(" ", F.slice(F.col(words), (F.col(at) if isinstance(at, str) else at) + 1, F.col(size) if isinstance(size, str) else size)))
 
 
-def _sized(df: DataFrame) -> DataFrame:
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+def _hint(rows: int) -> Callable[[DataFrame], DataFrame]:
+    """How a table of so many counted rows is joined: sent to every task, or left to the planner."""
+    return F.broadcast if rows <= BROADCAST_ROWS else lambda df: df
 
 
 def _digest(text_col: str) -> Column:
@@ -49,39 +52,43 @@ def _digest(text_col: str) -> Column:
 
 
 def items(benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """(item, m words, q words a shingle, idx, gram): every shingle of every distinct text that has words; item: its digest."""
+    """(item, m words, q words a shingle, idx, gram, word, off): every shingle of every distinct text that has words.
+
+    item: the text's digest; word, off: the shingle's longest word and its place in it.
+    """
+    part = F.slice("iw", F.col("idx") + 1, F.col("q"))
+    best = F.array_max(F.transform(part, lambda w, k: F.struct(F.length(w).alias("size"), w.alias("word"), (-k).alias("back"))))
     base = benchmark.select(_digest(text_col).alias("item"), _words(text_col).alias("iw")).where("iw IS NOT NULL").dropDuplicates(["item"])
     base = base.withColumn("m", F.size("iw")).withColumn("q", F.least(F.col("m"), F.lit(SHINGLE)))
-    return base.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("q")))).withColumn("gram", _gram("iw", "idx", "q"))
+    base = base.withColumn("idx", F.explode(F.sequence(F.lit(0), F.col("m") - F.col("q")))).withColumn("gram", _gram("iw", "idx", "q")).withColumn("b", best)
+    return base.select("item", "m", "q", "idx", "gram", F.col("b.word").alias("word"), (-F.col("b.back")).alias("off"))
 
 
-def windows(docs: DataFrame, grams: DataFrame, text_col: str = "text") -> DataFrame:
-    """(key, item, start, window): the windows of each text that line up a shingle of an item; key: the text's digest."""
-    part = F.slice("iw", F.col("idx") + 1, F.col("q"))
-    best = F.array_max(F.transform(part, lambda w, k: F.struct(F.length(w).alias("size"), w.alias("word"), (-k).alias("back"))))
-    table = grams.select("item", "m", "q", "idx", "gram", best.alias("b")).select("item", "m", "q", "idx", "gram", F.col("b.word").alias("word"), (-F.col("b.back")).alias("off"))
+def windows(docs: DataFrame, table: DataFrame, sized: Callable[[DataFrame], DataFrame], text_col: str = "text") -> DataFrame:
+    """(key, item, q, start, window): the windows of each text that line up a shingle of an item; key: the text's digest."""
     # (explode_outer, since for explode the planner would add filters that split the text twice more.)
     # Per word first: one lookup of a word gives the places it can have in shingles, and only then the items.
     spots = table.select("word", "off", "q", "gram").distinct()
     text = docs.select(_digest(text_col).alias("key"), _words(text_col).alias("words"))
     at = F.col("pos") - F.col("off")
-    hits = text.select("key", "words", F.posexplode_outer("words").alias("pos", "word")).join(_sized(spots), "word")
+    hits = text.select("key", "words", F.posexplode_outer("words").alias("pos", "word")).join(sized(spots), "word")
     hits = hits.where((at >= 0) & (at + F.col("q") <= F.size("words"))).where(_gram("words", at, "q") == F.col("gram")).select("key", "words", at.alias("at"), "q", "gram")
-    lined = hits.join(_sized(table.select("item", "m", "q", "idx", "gram").distinct()), ["gram", "q"])
+    lined = hits.join(sized(table.select("item", "m", "q", "idx", "gram").distinct()), ["gram", "q"])
     start = F.greatest(F.col("at") - F.col("idx"), F.lit(0))
     end = F.least(F.col("at") - F.col("idx") + F.col("m"), F.size("words"))
-    return lined.select("key", "item", start.alias("start"), F.slice("words", start + 1, end - start).alias("window")).distinct()
+    return lined.select("key", "item", "q", start.alias("start"), F.slice("words", start + 1, end - start).alias("window")).distinct()
 
 
 def _simhash(counted: DataFrame, keys: list[str]) -> DataFrame:
     """keys, total, print: the SimHash of the weighted shingles (gram, c) of each key."""
-    bits = [F.sum(F.when(F.getbit("gram", F.lit(k)) == 1, F.col("c")).otherwise(-F.col("c"))).alias(f"b{k}") for k in range(64)]
-    summed = counted.groupBy(*keys).agg(F.sum("c").alias("total"), *bits)
-    print_ = None
-    for k in range(64):
-        bit = F.when(F.col(f"b{k}") > 0, F.shiftleft(F.lit(1).cast("long"), k)).otherwise(F.lit(0).cast("long"))
-        print_ = bit if print_ is None else print_.bitwiseOR(bit)
-    return summed.select(*keys, "total", print_.alias("print"))
+    # One sum for two bits, k and k + 32: each has half of a long, enough for two thousand million shingles.
+    low = F.lit(0x100000001).cast("long")
+    sums = [F.sum(F.shiftrightunsigned("gram", k).bitwiseAND(low) * F.col("c")).alias(f"b{k}") for k in range(32)]
+    summed = counted.groupBy(*keys).agg(F.sum("c").alias("total"), *sums)
+    half = F.lit(0xFFFFFFFF).cast("long")
+    more = lambda bits, k: F.when(bits * 2 > F.col("total"), F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")).otherwise(F.lit(0).cast("long"))
+    every = F.array(*(x for k in range(32) for x in (more(F.col(f"b{k}").bitwiseAND(half), k), more(F.shiftrightunsigned(f"b{k}", 32), k + 32))))
+    return summed.select(*keys, "total", F.aggregate(every, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x)).alias("print"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text_col: str = "text") -> DataFrame:
@@ -91,11 +98,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     lower-cased.  Among equals the first window; start counts words from 0.  Null texts, and texts and items without a
     word, match nothing; an empty table gives an empty result.  Items are told apart by their texts, whatever their ids.
     """
-    grams = items(benchmark, item_text_col)
+    grams = saved(items(benchmark, item_text_col))
     keys = ["key", "item", "start"]
-    found = windows(docs, grams, text_col).join(_sized(grams.select("item", "q").distinct()), "item")
+    found = windows(docs, grams, _hint(grams.count()), text_col)
     shingles = found.where(F.size("window") >= F.col("q")).select(*keys, "window", "q", F.explode(F.sequence(F.lit(0), F.size("window") - F.col("q"))).alias("i")).select(*keys, _gram("window", "i", "q").alias("gram"))
-    counted = shingles.groupBy(*keys, "gram").agg(F.count("*").alias("c"))
+    # Written once: fingerprints and exact similarities are two readers, and the texts are gone through a single time.
+    counted = saved(shingles.groupBy(*keys, "gram").agg(F.count("*").alias("c")))
     wanted = grams.groupBy("item", "gram").agg(F.count("*").alias("c"))
     mine = _simhash(counted, keys)
     theirs = _simhash(wanted, ["item"])
@@ -120,7 +128,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_
     found = contaminated(docs, benchmark, text_col)
     rows = docs.select(F.col(id_col).alias("_id"), _digest(text_col).alias("key"))
     named = benchmark.select(F.col("item_id"), _digest("text").alias("item")).where("item IS NOT NULL").distinct()
-    return rows.join(found, "key").join(_sized(named), "item").select(F.col("_id").alias(id_col), "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("distance").cast("long").alias("distance"))
+    return rows.join(found, "key").join(named, "item").select(F.col("_id").alias(id_col), "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("distance").cast("long").alias("distance"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
