@@ -4,8 +4,8 @@ Document level: significant word log-odds (naive Bayes over hashed words) and
 style figures feed one logistic head per target, fitted on a bounded sample of
 labelled rows.  Site level: the heads' probabilities are summed per host and per
 path under it; a path's mean is shrunk to its host's posterior and the host's to
-the global prior, with strengths estimated by the method of moments from the
-same grouped sums.  The two are combined on the logit scale.
+the global prior, each by a variance of its own that the method of moments
+estimates from the same grouped sums.  The two are combined on the logit scale.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
+from ._spark import saved
 
 BUCKETS = 1 << 20
 #: Bytes of a longer word that are a feature too, so that inflected forms share evidence.
@@ -67,10 +68,23 @@ def _features(column: pa.Array | pa.ChunkedArray) -> Iterator[tuple[int, int, np
 
 
 class Model:
-    """A fitted classifier: two word-weight tables of BUCKETS floats and two small heads, whatever the corpus."""
+    """A fitted classifier: two tables of word weights with BUCKETS cells at most and two small heads, whatever the corpus."""
 
-    def __init__(self, words: np.ndarray, mean: np.ndarray, scale: np.ndarray, heads: np.ndarray, prior: np.ndarray):
-        self.words, self.mean, self.scale, self.heads, self.prior = words, mean, scale, heads, prior
+    def __init__(self, words: list[tuple[np.ndarray, np.ndarray]], mean: np.ndarray, scale: np.ndarray, heads: np.ndarray):
+        self.words, self.mean, self.scale, self.heads = words, mean, scale, heads
+        self._dense: list[np.ndarray] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_dense": None}
+
+    @property
+    def dense(self) -> list[np.ndarray]:
+        """The word weights by bucket, made where they are used."""
+        if self._dense is None:
+            self._dense = [np.zeros(BUCKETS, np.float32) for _ in self.words]
+            for table, (cells, values) in zip(self._dense, self.words, strict=True):
+                table[cells] = values
+        return self._dense
 
     @staticmethod
     def design(style: np.ndarray, evidence: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
@@ -82,7 +96,7 @@ class Model:
         out = np.empty((len(column), 2))
         for first, last, style, row, bucket in _features(column):
             for k in range(2):
-                evidence = np.bincount(row, weights=self.words[k][bucket], minlength=last - first)
+                evidence = np.bincount(row, weights=self.dense[k][bucket], minlength=last - first)
                 out[first:last, k] = 1 / (1 + np.exp(-np.clip(self.design(style, evidence, self.mean, self.scale) @ self.heads[k], -30, 30)))
         return out
 
@@ -128,31 +142,49 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 pa.array([x.tobytes() for x in style], pa.binary()), pa.array([flat[a:b].tobytes() for a, b in zip(offs[:-1], offs[1:], strict=True)], pa.binary()), b.column(1), b.column(2),
             ], names=["style", "buckets", "quality", "toxic"])
 
-    got = rows.mapInArrow(run, "style binary, buckets binary, quality int, toxic int").toArrow()
-    y = np.column_stack([got[k].to_numpy() for k in TARGETS])
-    if len(y) < 10 or any(len(np.unique(y[:, k])) < 2 for k in range(2)):
+    # The sample is bounded, so one task fits it; only the model comes to the driver.
+    features = rows.mapInArrow(run, "style binary, buckets binary, quality int, toxic int")
+    solved = features.groupBy(F.lit("sample")).applyInArrow(lambda t: _solve(t, min_support, min_odds), "part string, cells binary, numbers binary").collect()
+    got = {r["part"]: r for r in solved}
+    if not got:
         return None
-    style = np.vstack([np.frombuffer(x.as_buffer(), np.float64) for x in got["style"]])
-    lists = [np.frombuffer(x.as_buffer(), np.int32) for x in got["buckets"]]
-    step = 500  # rows at a time, so that the driver holds little besides the rows themselves
-    mean, scale = style.mean(0), style.std(0) + 1e-6
-    words, heads = np.zeros((2, BUCKETS), np.float32), []
-    for k in range(2):
-        both = np.zeros((2, BUCKETS), np.int32)
-        for c in range(2):
-            mine = [x for x, z in zip(lists, y[:, k], strict=True) if z == c]
-            for at in range(0, len(mine), step):
-                np.add.at(both[c], np.concatenate(mine[at : at + step]), 1)
-        n0, n1 = (y[:, k] == 0).sum(), (y[:, k] == 1).sum()
-        often = np.flatnonzero(both.sum(0) >= min_support)
-        neg, pos = both[0][often] + 0.5, both[1][often] + 0.5
-        odds = np.log(pos / (n1 + 1)) - np.log(neg / (n0 + 1))
-        # What is left of the log-odds two standard errors nearer to 0; small ones only mirror lengths and topics.
-        sure = np.abs(odds) - 2 * np.sqrt(1 / pos + 1 / neg)
-        words[k][often] = np.where(sure >= min_odds, np.sign(odds) * sure, 0)
-        evidence = np.array([words[k][x].sum(dtype=np.float64) for x in lists])
-        heads.append(_logistic(Model.design(style, evidence, mean, scale), y[:, k].astype(float)))
-    return Model(words, mean, scale, np.array(heads), y.mean(0))
+    number = lambda k: np.frombuffer(bytes(got[k]["numbers"]), np.float64)
+    words = [(np.frombuffer(bytes(got[k]["cells"]), np.int32), number(k).astype(np.float32)) for k in TARGETS]
+    return Model(words, number("mean"), number("scale"), number("heads").reshape(len(TARGETS), -1))
+
+
+def _solve(t: pa.Table, min_support: int, min_odds: float) -> pa.Table:
+    """The parts of a Model, of the features and labels of all sampled rows; none without both classes of a target."""
+    keys = list(zip(t["style"].to_pylist(), t["buckets"].to_pylist(), strict=True))
+    t = t.take(pa.array(sorted(range(len(keys)), key=keys.__getitem__)))  # in one order, however the rows were dealt
+    y = np.column_stack([t[k].to_numpy() for k in TARGETS])
+    out: list[tuple[str, bytes, bytes]] = []
+    if len(y) >= 10 and all(len(np.unique(y[:, k])) == 2 for k in range(2)):
+        style = np.vstack([np.frombuffer(x.as_buffer(), np.float64) for x in t["style"]])
+        lists = [np.frombuffer(x.as_buffer(), np.int32) for x in t["buckets"]]
+        step = 500  # rows at a time, so that little is held besides the rows themselves
+        mean, scale = style.mean(0), style.std(0) + 1e-6
+        heads = []
+        for k, name in enumerate(TARGETS):
+            both = np.zeros((2, BUCKETS), np.int32)
+            for c in range(2):
+                mine = [x for x, z in zip(lists, y[:, k], strict=True) if z == c]
+                for at in range(0, len(mine), step):
+                    both[c] += np.bincount(np.concatenate(mine[at : at + step]), minlength=BUCKETS).astype(np.int32)
+            n0, n1 = (y[:, k] == 0).sum(), (y[:, k] == 1).sum()
+            often = np.flatnonzero(both.sum(0) >= min_support)
+            neg, pos = both[0][often] + 0.5, both[1][often] + 0.5
+            odds = np.log(pos / (n1 + 1)) - np.log(neg / (n0 + 1))
+            # What is left of the log-odds two standard errors nearer to 0; small ones only mirror lengths and topics.
+            sure = np.abs(odds) - 2 * np.sqrt(1 / pos + 1 / neg)
+            words = np.zeros(BUCKETS, np.float32)
+            words[often] = np.where(sure >= min_odds, np.sign(odds) * sure, 0)
+            evidence = np.array([words[x].sum(dtype=np.float64) for x in lists])
+            heads.append(_logistic(Model.design(style, evidence, mean, scale), y[:, k].astype(float)))
+            some = np.flatnonzero(words).astype(np.int32)
+            out.append((name, some.tobytes(), words[some].astype(np.float64).tobytes()))
+        out += [("mean", b"", mean.tobytes()), ("scale", b"", scale.tobytes()), ("heads", b"", np.array(heads).tobytes())]
+    return pa.table({"part": pa.array([x[0] for x in out], pa.string()), "cells": pa.array([x[1] for x in out], pa.binary()), "numbers": pa.array([x[2] for x in out], pa.binary())})
 
 
 def _logit(p: Column) -> Column:
@@ -160,56 +192,72 @@ def _logit(p: Column) -> Column:
     return F.log(p) - F.log(1 - p)
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", min_quality: float = 0.5, max_toxic: float = 0.5, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
+def _posterior(paths: DataFrame) -> tuple[DataFrame, dict[str, float]]:
+    """(host, path, q_path, t_path) of the grouped sums (host, path, n, and for q and t the sum and the sum of squares), and the global means.
+
+    Nested random effects by the method of moments: the variance within paths, that of paths within hosts and that of
+    hosts each come from their own sum of squares.  A host's mean is shrunk to the global one by its own variance, a
+    path's to its host's posterior by the paths'.
+    """
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), F.sum(F.col("n") * F.col("n")).alias("h2"), *(F.sum(f"{k}1").alias(f"h{k}") for k in "qt"))
+    one = lambda k, n: F.sum(F.col(k) * F.col(k) / F.col(n))
+    low = paths.agg(F.sum("n").cast("double").alias("N"), F.count("*").alias("G"), F.sum(F.col("n") * F.col("n")).cast("double").alias("n2"), *(F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "qt" for i in (1, 2)), *(one(f"{k}1", "n").alias(f"{k}b") for k in "qt")).first()
+    high = hosts.agg(F.count("*").alias("H"), F.sum(F.col("h2") / F.col("hn")).alias("mixed"), F.sum(F.col("hn") * F.col("hn")).cast("double").alias("hn2"), *(one(f"h{k}", "hn").alias(f"{k}h") for k in "qt")).first()
+    n = low["N"] or 1.0
+    post, mid = paths.alias("p").join(hosts.withColumnRenamed("host", "_h"), F.col("host").eqNullSafe(F.col("_h"))), {}
+    for k in "qt":
+        mean = (low[f"{k}1"] or 0.0) / n
+        within = max(((low[f"{k}2"] or 0.0) - (low[f"{k}b"] or 0.0)) / max(n - low["G"], 1), 1e-9)
+        of_paths = max(((low[f"{k}b"] or 0.0) - (high[f"{k}h"] or 0.0) - (low["G"] - high["H"]) * within) / max(n - (high["mixed"] or 0.0), 1), 0.0)
+        of_hosts = max(((high[f"{k}h"] or 0.0) - n * mean * mean - (high["H"] - 1) * within - of_paths * ((high["mixed"] or 0.0) - (low["n2"] or 0.0) / n)) / max(n - (high["hn2"] or 0.0) / n, 1), 0.0)
+        # The priors' weights in documents.
+        path_weight, host_weight = (float(min(max(within / max(v, 1e-9), 10.0), 1e6)) for v in (of_paths, of_hosts))
+        mid[k] = mean
+        # A host's mean tells as much as this many independent documents: its paths differ by themselves.
+        tells = F.col("hn") / (1 + of_paths / within * F.col("h2") / F.col("hn"))
+        of_host = (tells * F.col(f"h{k}") / F.col("hn") + host_weight * mean) / (tells + host_weight)
+        post = post.withColumn(f"{k}_path", (F.col(f"{k}1") + path_weight * of_host) / (F.col("n") + path_weight))
+    return post.select("host", "path", "q_path", "t_path"), mid
+
+
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", min_quality: float = 0.5, max_toxic: float = 0.5, max_rows: int = MAX_FIT_ROWS, with_text: bool = True) -> DataFrame:
     """docs with all its columns and, per row, q_doc, q_path, q_score (quality), t_doc, t_path, t_score (toxicity), keep.
 
     *_doc is the document classifier's probability, *_path the posterior of its (host, path), *_score both combined:
     logit(doc) + logit(path) - logit(global).  keep: q_score >= min_quality and t_score <= max_toxic.  A null host or
     path is a value of its own.  Null and empty texts have no evidence of their own, so only their style (that of an
     empty text) counts.  Without labels of both classes of both targets nothing is known: q_* are 1, t_* 0, all are
-    kept.  Columns of docs that have the names of ours are replaced by ours.  Repeated rows get equal results.
+    kept.  Columns of docs that have the names of ours are replaced by ours; others may have any name.  Repeated rows
+    get equal results, an empty table an empty one.  without text (with_text=False: text_col is left out) the texts are
+    gone through once and the scores written; with it they are scored again when the rows are read.
     """
     ours = ["q_doc", "q_path", "q_score", "t_doc", "t_path", "t_score", "keep"]
-    old = [c for c in docs.columns if c.lower() not in ours]
+    old = [c for c in docs.columns if c.lower() not in ours and (with_text or c != text_col)]
     model = fit(docs, labels, id_col, text_col, max_rows)
-    plain = docs.select(*(F.col(f"`{c}`") for c in old))
     if model is None:
         one, zero = F.lit(1.0), F.lit(0.0)
-        return plain.select("*", *(one.alias(c) for c in ours[:3]), *(zero.alias(c) for c in ours[3:6]), F.lit(True).alias("keep"))
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)  # of a fixed size: 2 * BUCKETS floats
+        return docs.select(*(F.col(f"`{c}`") for c in old), *(one.alias(c) for c in ours[:3]), *(zero.alias(c) for c in ours[3:6]), F.lit(True).alias("keep"))
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded size: 2 * BUCKETS cells at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = shared.value.predict(b.column(b.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*b.schema.names[:-1], "q_doc", "t_doc"])
-
-    def scored(df: DataFrame) -> DataFrame:
-        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-        return df.withColumn("_scan_text", F.col(f"`{text_col}`").cast("string")).mapInArrow(run, f"{kinds}, q_doc double, t_doc double")
-
-    host, path = F.col("_host"), F.col("_path")
-    keys = docs.select(F.col(f"`{host_col}`").cast("string").alias("_host"), F.col(f"`{path_col}`").cast("string").alias("_path"), F.col(f"`{text_col}`").alias(text_col))
+            p = shared.value.predict(b.column(0))
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(p[:, 0]), pa.array(p[:, 1])], names=[*b.schema.names[1:], "q_doc", "t_doc"])
+
+    # The caller's columns travel in a structure, so that their names are apart from ours.
+    text, host, path = (F.col(f"`{c}`").cast("string") for c in (text_col, host_col, path_col))
+    site = [host.alias("host"), path.alias("path")]
+    whole = F.struct(*(F.col(f"`{c}`") for c in old)).alias("doc")
+    kept = docs.select(whole)
+    rows = docs.select(text.alias("text"), *site, whole).mapInArrow(run, f"host string, path string, {kept.schema[0].simpleString().replace(':', ' ', 1)}, q_doc double, t_doc double")
+    if with_text:
+        slim = docs.select(text.alias("text"), *site).mapInArrow(run, "host string, path string, q_doc double, t_doc double")
+    else:
+        slim = rows = saved(rows)
     sums = [F.count("*").alias("n")] + [f(k).alias(f"{k[0]}{i}") for k in ("q_doc", "t_doc") for i, f in ((1, F.sum), (2, lambda c: F.sum(F.col(c) * F.col(c))))]
-    paths = scored(keys).drop(text_col).groupBy("_host", "_path").agg(*sums)
-    total = paths.agg(F.sum("n").alias("N"), *(F.sum(f"{k}{i}").alias(f"{k}{i}") for k in "qt" for i in (1, 2)), *(F.sum(F.col(f"{k}1") * F.col(f"{k}1") / F.col("n")).alias(f"{k}b") for k in "qt"), F.count("*").alias("G")).first()
-    count = total["N"] or 0
-    post = paths
-    hosts = paths.groupBy("_host").agg(F.sum("n").alias("hn"), F.sum("q1").alias("hq"), F.sum("t1").alias("ht"))
-    post = paths.alias("p").join(hosts.withColumnRenamed("_host", "_h"), F.col("_host").eqNullSafe(F.col("_h")))
-    mid = {}
-    for k in "qt":
-        mean = (total[f"{k}1"] or 0.0) / count if count else 0.5
-        within = max(((total[f"{k}2"] or 0.0) - (total[f"{k}b"] or 0.0)) / max(count - total["G"], 1), 1e-9) if count else 1.0
-        between = max(((total[f"{k}b"] or 0.0) - count * mean * mean) / max(count - count / max(total["G"], 1), 1) - within * max(total["G"] - 1, 0) / max(count, 1), 0.0) if count else 0.0
-        strength = float(min(max(within / max(between, 1e-9), 10.0), 1e6))  # pseudo-documents of the prior
-        mid[k] = mean
-        of_host = (F.col(f"h{k}") + strength * mean) / (F.col("hn") + strength)
-        post = post.withColumn(f"{k}_path", (F.col(f"{k}1") + strength * of_host) / (F.col("n") + strength))
-    post = post.select(host.alias("_ph"), path.alias("_pp"), "q_path", "t_path")
-    rows = scored(plain)
-    on = rows[f"`{host_col}`"].cast("string").eqNullSafe(F.col("_ph")) & rows[f"`{path_col}`"].cast("string").eqNullSafe(F.col("_pp"))
-    joined = rows.join(post, on, "left")
+    post, mid = _posterior(saved(slim.groupBy("host", "path").agg(*sums)))
+    post = post.withColumnsRenamed({"host": "_host", "path": "_path"})
+    joined = rows.join(post, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")), "left")
 
     def combined(k: str) -> Column:
         if not 0 < mid[k] < 1:
@@ -219,4 +267,4 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     out = joined.withColumn("q_score", combined("q")).withColumn("t_score", combined("t"))
     out = out.withColumn("keep", (F.col("q_score") >= min_quality) & (F.col("t_score") <= max_toxic))
-    return out.select(*(F.col(f"`{c}`") for c in old), *ours)
+    return out.select(*(F.col("doc")[c].alias(c) for c in old), *ours)

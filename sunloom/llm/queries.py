@@ -53,7 +53,7 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), with_text=False)
     return out.select("doc_id", *(F.round(c, 6).alias(c) for c in ("q_doc", "q_path", "q_score", "t_doc", "t_path", "t_score")), "keep")
 
 

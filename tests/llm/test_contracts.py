@@ -2,8 +2,11 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from sunloom.llm import langid, topk
+from sunloom.llm import langid, quality, topk
+
+DATA = "/root/testdata/sf0.001"
 
 
 def test_top_k_ties_of_negative_scores(spark):
@@ -19,3 +22,55 @@ def test_letters_beyond_the_basic_plane(spark):
     model = langid.Model(["aa"], [(np.float32(-1), np.zeros(0, np.uint16), np.zeros(0, np.float32))], np.ones((langid.SCRIPTS, 1), bool))
     got = [x[0] for x in model.predict(["\U0001d11e", "\U0001d7ce 12", "\U0001f600", "\U00010400", "\U00020000", "x"])]
     assert got == ["und", "und", "und", "aa", "aa", "aa"]
+
+
+def test_quality_with_any_column_names(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    names = ["_ph", "_pp", "_scan_text", "_host", "_path", "host", "path", "doc", "q1", "q_DOC", "n"]
+    more = docs.withColumns({c: F.lit(k) for k, c in enumerate(names)})
+    out = quality.classify(more, labels)
+    assert out.columns == [*docs.columns, *(c for c in names if c != "q_DOC"), "q_doc", "q_path", "q_score", "t_doc", "t_path", "t_score", "keep"]
+    assert out.agg(F.sum("_ph"), F.sum("n"), F.count("*")).first() == (0, 10 * docs.count(), docs.count())
+    scores = ["doc_id", "q_score", "t_score", "keep"]
+    slim = quality.classify(docs, labels, with_text=False)
+    assert "text" not in slim.columns
+    key = lambda df: sorted((r[0], round(r[1], 9), round(r[2], 9), r[3]) for r in df.select(*scores).collect())
+    assert key(out) == key(slim)
+    assert quality.classify(docs.limit(0), labels).count() == 0
+
+
+def test_quality_posterior_against_plain_sums(spark):
+    """Nested random effects by hand, on the documents' scores themselves."""
+    rng = np.random.default_rng(6)
+    rows = []
+    for h in range(12):
+        host = rng.normal(0.5, 0.15)
+        for p in range(5):
+            mean = host + rng.normal(0, 0.05)
+            rows += [(f"h{h}" if h else None, f"p{p}", float(np.clip(mean + rng.normal(0, 0.1), 0, 1)), 0.1) for _ in range(int(rng.integers(1, 60)))]
+    df = spark.createDataFrame(rows, "host string, path string, q double, t double")
+    paths = df.groupBy("host", "path").agg(F.count("*").alias("n"), *(f.alias(k + i) for k in "qt" for i, f in (("1", F.sum(k)), ("2", F.sum(F.col(k) * F.col(k))))))
+    post, mid = quality._posterior(paths)
+    got = {(r["host"], r["path"]): r["q_path"] for r in post.collect()}
+    by: dict = {}
+    for h, p, q, _ in rows:
+        by.setdefault(h, {}).setdefault(p, []).append(q)
+    every = np.array([r[2] for r in rows])
+    n, mean = len(rows), every.mean()
+    cells = [np.array(x) for v in by.values() for x in v.values()]
+    hosts = [np.concatenate([np.array(x) for x in v.values()]) for v in by.values()]
+    within = sum(((x - x.mean()) ** 2).sum() for x in cells) / (n - len(cells))
+    mixed = sum(sum(len(x) ** 2 for x in v.values()) / sum(map(len, v.values())) for v in by.values())
+    between_paths = sum(len(x) * (x.mean() - np.concatenate([np.array(y) for y in v.values()]).mean()) ** 2 for v in by.values() for x in map(np.array, v.values()))
+    of_paths = max((between_paths - (len(cells) - len(hosts)) * within) / (n - mixed), 0)
+    between_hosts = sum(len(x) * (x.mean() - mean) ** 2 for x in hosts)
+    of_hosts = max((between_hosts - (len(hosts) - 1) * within - of_paths * (mixed - sum(len(x) ** 2 for x in cells) / n)) / (n - sum(len(x) ** 2 for x in hosts) / n), 0)
+    a, b = (min(max(within / max(v, 1e-9), 10.0), 1e6) for v in (of_paths, of_hosts))
+    assert mid["q"] == pytest.approx(mean) and of_hosts > 0.005
+    for h, v in by.items():
+        x = np.concatenate([np.array(y) for y in v.values()])
+        tells = len(x) / (1 + of_paths / within * sum(len(y) ** 2 for y in v.values()) / len(x))
+        host = (tells * x.mean() + b * mean) / (tells + b)
+        for p, y in v.items():
+            assert got[h, p] == pytest.approx((sum(y) + a * host) / (len(y) + a), rel=1e-6)
