@@ -247,8 +247,8 @@ def test_all_main_groups(page, text):
     assert html_extract.main_text(page) == text
 
 
-def brute_dedup(rows):
-    n, seen = suffix_dedup.WINDOW, Counter()
+def brute_dedup(rows, n=400):
+    seen = Counter()
     for _, t in rows:
         b = (t or "").encode()
         seen.update(b[i : i + n] for i in range(len(b) - n + 1))
@@ -262,8 +262,8 @@ def brute_dedup(rows):
         yield d, len(b), sum(gone), sum(1 for i, g in enumerate(gone) if g and (not i or not gone[i - 1])), hashlib.sha256(kept).hexdigest()
 
 
-@pytest.mark.parametrize("most", [40_000, 4])
-def test_suffix_dedup(spark, texts, most, monkeypatch):
+@pytest.mark.parametrize(("most", "window"), [(40_000, 400), (4, 400), (40_000, 200), (4, 200)])
+def test_suffix_dedup(spark, texts, most, window, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "MOST_CONTEXTS", most)
     rng = random.Random(5)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(450))
@@ -271,8 +271,26 @@ def test_suffix_dedup(spark, texts, most, monkeypatch):
     more += ["x" * 1000, "q" + "ab" * 300 + "é" * 50, texts[5][100:1400] + texts[6][:700] + "zz" + texts[5][50:800]]
     rows = list(enumerate([*texts[:60], *texts[-10:], *more])) + [(None, more[0])]
     df = frame(spark, [t for _, t in rows], [d for d, _ in rows]).repartition(5)
-    assert sorted(map(tuple, suffix_dedup.dedup_digest(df).collect()), key=str) == sorted(brute_dedup(rows), key=str)
-    assert suffix_dedup.remove_repeats(df).columns == df.columns
+    got = suffix_dedup.dedup_digest(df, window=window).collect()
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(brute_dedup(rows, window), key=str)
+    cut = suffix_dedup.remove_repeats(df, window=window)
+    assert cut.columns == df.columns and cut.count() == len(rows)
+    if most > 4 and window == 400:
+        # Passages of 51 words that another row has all count; without one of 32 words nothing does.
+        tokens = [(d, [m.group().encode() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+[\x00-\x2F\x3A-\x60\x7B-\x7F]*", t or "")]) for d, t in rows]
+
+        def shared(n):
+            where = {}
+            for k, (_, w) in enumerate(tokens):
+                for i in range(len(w) - n + 1):
+                    where.setdefault(tuple(w[i : i + n]), set()).add(k)
+            return [any(len(where[tuple(w[i : i + n])]) > 1 for i in range(len(w) - n + 1)) for _, w in tokens]
+
+        number = {r["doc_id"]: r["n_shared"] for r in got}
+        long, short = shared(52), shared(30)
+        assert any(long) and not all(short)
+        for (d, _), x, y in zip(rows, long, short, strict=True):
+            assert number[d] > 0 if x else (number[d] == 0 or y)
 
 
 def test_suffix_arrays():
