@@ -31,9 +31,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return near_dup.keep_representatives(docs)
 
 
+#: Bytes from which a repeated string goes: fewer than any passage of over 50 words of ordinary length has.
+PASSAGE_BYTES = 200
+
+
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the bytes that a repeated 400-byte string covers; n_chars follows the text."""
-    out = suffix_dedup.remove_repeats(docs)
+    """Texts without the bytes that a repeated string of PASSAGE_BYTES covers; n_chars follows the text."""
+    out = suffix_dedup.remove_repeats(docs, window=PASSAGE_BYTES)
     if "n_chars" in out.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text")).cast(kind))
