@@ -57,6 +57,17 @@ def cross_index(locations: DataFrame, t0s: DataFrame, location: str = "location_
     return one.crossJoin(two).select(location, t0, (F.col("_l").cast("long") * n + F.col("_t")).alias("sample_idx"))
 
 
+def number_samples(index: DataFrame, location: str = "location_id", t0: str = "t0") -> DataFrame:
+    """index with sample_idx: places from 0 in the order of location, then time.
+
+    Counts per location are summed up over one row per location; the order inside a location is its own partition's.
+    """
+    before = F.sum("_n").over(Window.orderBy(location).rowsBetween(Window.unboundedPreceding, -1))
+    starts = index.groupBy(location).agg(F.count("*").alias("_n")).select(location, F.coalesce(before, F.lit(0)).alias("_start"))
+    own = F.row_number().over(Window.partitionBy(location).orderBy(t0))
+    return index.withColumn("_own", own).join(starts, location).withColumn("sample_idx", F.col("_start") + F.col("_own") - 1).drop("_own", "_start")
+
+
 def collate(samples: DataFrame, by: str, position: str, stacked: Sequence[str], constant: Sequence[str] = ()) -> DataFrame:
     """One row per `by`: the stacked columns as arrays in the order of position, the constant ones as they are."""
     rows = F.array_sort(F.collect_list(F.struct(position, *stacked)))
@@ -64,10 +75,25 @@ def collate(samples: DataFrame, by: str, position: str, stacked: Sequence[str],
     return out.select(by, *(F.col("_rows")[c].alias(c) for c in (position, *stacked)), *constant)
 
 
+def _beside(df: DataFrame, one: DataFrame) -> DataFrame:
+    """df with the columns of a one-row table (a global aggregate), so that nothing has to run while the plan is made."""
+    return df.crossJoin(F.broadcast(one))
+
+
 def drop_zero_location(df: DataFrame, location: str = "location_id") -> DataFrame:
     """Without location 0, if there are others."""
-    others = df.select(location).distinct().limit(2).count() > 1
-    return df.where(F.col(location) >= 1) if others else df
+    others = df.agg((F.min(location) != F.max(location)).alias("_others"))
+    return _beside(df, others).where((F.col(location) >= 1) | ~F.coalesce(F.col("_others"), F.lit(False))).drop("_others")
+
+
+def check_increasing(df: DataFrame, order: str, coord: str, keys: Sequence[str] = ()) -> DataFrame:
+    """df, if the coordinate strictly increases or strictly decreases along the order, per key; else an error when it is read."""
+    axis = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(order)
+    step = F.signum((F.col(coord) - F.lag(coord).over(axis)).cast("double"))
+    turns = df.select(*keys, order, coord).distinct().select(*keys, step.alias("_step")).where(F.col("_step").isNotNull())
+    checked = turns.groupBy(*keys).agg(F.min("_step").alias("_low"), F.max("_step").alias("_high")).where(~((F.col("_low") == F.col("_high")) & (F.col("_low") != 0)))
+    fine = checked.agg(F.count("*").alias("_n")).select(F.when(F.col("_n") > 0, F.raise_error(F.lit(f"{coord} is not monotonic"))).otherwise(F.lit(True)).cast("boolean").alias("_fine"))
+    return _beside(df, fine).where("_fine").drop("_fine")
 
 
 def first_steps(df: DataFrame, n: int, keys: Sequence[str], step: str = "step") -> DataFrame:
@@ -77,12 +103,13 @@ def first_steps(df: DataFrame, n: int, keys: Sequence[str], step: str = "step")
 
 
 def select_channels(df: DataFrame, channels: Sequence[str], channel: str = "channel") -> DataFrame:
-    """The rows of the channels, with their place in the list; a channel that isn't there is an error."""
-    there = {r[0] for r in df.where(F.col(channel).isin(*channels)).select(channel).distinct().collect()}
-    if missing := [c for c in channels if c not in there]:
-        raise KeyError(f"channels not found: {missing}")
-    place = F.array_position(F.array(*(F.lit(c) for c in channels)), F.col(channel)) - 1
-    return df.where(F.col(channel).isin(*channels)).withColumn("channel_pos", place.cast("int"))
+    """The rows of the channels, with their place in the list; a channel that isn't there is an error when they are read."""
+    wanted = F.array(*(F.lit(c) for c in channels))
+    rows = df.where(F.col(channel).isin(*channels))
+    lacking = F.array_except(wanted, F.collect_set(channel))
+    found = rows.agg(lacking.alias("_lacking")).select(F.when(F.size("_lacking") > 0, F.raise_error(F.concat(F.lit("channels not found: "), F.concat_ws(", ", "_lacking")))).otherwise(F.lit(True)).cast("boolean").alias("_found"))
+    place = F.array_position(wanted, F.col(channel)) - 1
+    return _beside(rows.withColumn("channel_pos", place.cast("int")), found).where("_found").drop("_found")
 
 
 def unpivot_channels(df: DataFrame, ids: Sequence[str], channels: Sequence[str], channel: str = "channel", value: str = "value") -> DataFrame:

@@ -26,8 +26,12 @@ def time_slice(data: DataFrame, t0s: DataFrame, interval_start: int, interval_en
 
 
 def draw(seed: int, *columns: Column | str) -> Column:
-    """A uniform number in [0, 1) that depends on the columns' values only, so it is the same however rows are dealt."""
-    return F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(1 << 53)) / F.lit(float(1 << 53))
+    """A uniform number in [0, 1) that depends on the columns' values only, so it is the same however rows are dealt.
+
+    52 bits of the md5 of `seed|value|value...`, which any SQL engine can repeat.
+    """
+    text = F.concat_ws("|", F.lit(str(seed)), *((F.col(c) if isinstance(c, str) else c).cast("string") for c in columns))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
 def cutoff(u: Column, deltas: Sequence[int], fraction: float | Sequence[float]) -> Column:
@@ -77,21 +81,26 @@ def asof_runs(inits: DataFrame, wanted: DataFrame, max_step: int, keys: Sequence
     return met.drop("_day", "_next", "_end")
 
 
-def forecast_slice(forecast: DataFrame, t0s: DataFrame, interval_start: int, interval_end: int, resolution: int, max_step: int, keys: Sequence[str] = (), deltas: Sequence[int] = (), fraction: float = 0.0, seed: int = 0, by: Sequence[str] = (), init: str = "init_time", step: str = "step", t0: str = "t0") -> DataFrame:
-    """The forecast rows for each reference time and target: the latest run that was available at t0 less the dropout.
-
-    forecast: (keys, init, step in minutes, ...).  Adds target.  With probability `fraction` one of the deltas (< 0) is
-    chosen evenly and moves the time of availability back.  Runs start no earlier than the first target less max_step.
-    """
+def forecast_runs(inits: DataFrame, t0s: DataFrame, interval_start: int, interval_end: int, resolution: int, max_step: int, keys: Sequence[str] = (), deltas: Sequence[int] = (), fraction: float = 0.0, seed: int = 0, by: Sequence[Column | str] = (), init: str = "init_time", step: str = "step", t0: str = "t0") -> DataFrame:
+    """(t0s' columns, target, init, step in minutes): the run that serves each target, as forecast_slice chooses it; inits has (keys, init)."""
     if any(d >= 0 for d in deltas):
         raise ValueError("forecast dropout needs deltas below 0")
     wanted = targets(t0s, interval_start, interval_end, resolution, t0)
     cut = F.coalesce(cutoff(draw(seed, *by, F.col(t0)), deltas, fraction), F.lit(0)) if deltas and fraction else F.lit(0)
     first = ceil_time(F.col(t0) + minutes(interval_start), resolution)
     wanted = wanted.withColumn("bound", F.least(F.col("target"), F.col(t0) + minutes(cut)))
-    found = asof_runs(forecast.select(*keys, init), wanted, max_step, keys, init).where(F.col(init) >= first - minutes(max_step)).drop("bound")
-    found = found.withColumn(step, ((micros("target") - micros(init)) / F.lit(60_000_000)).cast(forecast.schema[step].dataType))
-    return found.join(forecast, [*keys, init, step])
+    found = asof_runs(inits.select(*keys, init), wanted, max_step, keys, init).where(F.col(init) >= first - minutes(max_step)).drop("bound")
+    return found.withColumn(step, ((micros("target") - micros(init)) / F.lit(60_000_000)).cast("long"))
+
+
+def forecast_slice(forecast: DataFrame, t0s: DataFrame, interval_start: int, interval_end: int, resolution: int, max_step: int, keys: Sequence[str] = (), deltas: Sequence[int] = (), fraction: float = 0.0, seed: int = 0, by: Sequence[str] = (), init: str = "init_time", step: str = "step", t0: str = "t0") -> DataFrame:
+    """The forecast rows for each reference time and target: the latest run that was available at t0 less the dropout.
+
+    forecast: (keys, init, step in minutes, ...).  Adds target.  With probability `fraction` one of the deltas (< 0) is
+    chosen evenly and moves the time of availability back.  Runs start no earlier than the first target less max_step.
+    """
+    found = forecast_runs(forecast, t0s, interval_start, interval_end, resolution, max_step, keys, deltas, fraction, seed, by, init, step, t0)
+    return found.withColumn(step, F.col(step).cast(forecast.schema[step].dataType)).join(forecast, [*keys, init, step])
 
 
 def lead_difference(sliced: DataFrame, channels: Sequence[str], keys: Sequence[str], order: str, channel: str = "channel", value: str = "value") -> DataFrame:

@@ -29,11 +29,11 @@ class SampleEngine:
     and areas give the coordinate system of each gridded table (lon_lat unless told) and a geostationary one's area.
     """
 
-    def __init__(self, config: Configuration, tables: Mapping[str, DataFrame], time_periods: Sequence[tuple] | None = None, systems: Mapping[str, str] | None = None, areas: Mapping[str, str] | None = None, seed: int = 0):
+    def __init__(self, config: Configuration, tables: Mapping[str, DataFrame], time_periods: Sequence[tuple] | None = None, systems: Mapping[str, str] | None = None, areas: Mapping[str, str] | None = None, seed: int = 0, index: DataFrame | None = None):
         if config.generation is None:
             raise ValueError("a configuration without generation has no samples")
         self.config, self.tables, self.time_periods, self.seed = config, dict(tables), time_periods, seed
-        self.systems, self.areas = dict(systems or {}), dict(areas or {})
+        self.systems, self.areas, self._saved = dict(systems or {}), dict(areas or {}), index
 
     # -- index ---------------------------------------------------------------------------------------------------
 
@@ -42,9 +42,10 @@ class SampleEngine:
         return self.tables["generation"].groupBy("location_id").agg(F.first("longitude").alias("longitude"), F.first("latitude").alias("latitude"))
 
     def complete(self) -> bool:
-        """Whether no location lacks a value at any time."""
-        gen = self.tables["generation"]
-        return gen.where(features.missing(F.col("generation_mw"))).isEmpty() and gen.groupBy("location_id").agg(F.countDistinct("time_utc").alias("n")).select("n").distinct().count() <= 1
+        """Whether every location has a value at every time that any of them has."""
+        own = self.tables["generation"].groupBy("location_id", "time_utc").agg(F.max(features.missing(F.col("generation_mw")).cast("int")).alias("gap"))
+        r = own.agg(F.count("*").alias("n"), F.countDistinct("location_id").alias("l"), F.countDistinct("time_utc").alias("t"), F.max("gap").alias("gap")).first()
+        return not r["gap"] and r["n"] == r["l"] * r["t"]
 
     def weather_periods(self) -> list[DataFrame]:
         """Periods of reference times that satellite and forecasts allow."""
@@ -63,6 +64,8 @@ class SampleEngine:
 
     def index(self) -> DataFrame:
         """(location_id, t0) of every sample.  A location without a valid time has none."""
+        if self._saved is not None:
+            return self._saved.select("location_id", "t0")
         w, gen = self.config.generation.window, self.tables["generation"]
         span = (w.interval_start_minutes, w.interval_end_minutes, w.time_resolution_minutes)
         weather = self.weather_periods()
@@ -72,6 +75,30 @@ class SampleEngine:
         t0s = periods.fill_periods(valid, w.time_resolution_minutes, ["location_id"])
         return t0s.where(periods.time_mask(F.col("t0"), self.time_periods)) if self.time_periods else t0s
 
+    def numbered(self) -> DataFrame:
+        """(location_id, t0, sample_idx): the index with places from 0, by location, then time."""
+        return self._saved if self._saved is not None and "sample_idx" in self._saved.columns else grid.number_samples(self.index())
+
+    def save_index(self, path: str) -> SampleEngine:
+        """The same engine with its numbered index written to path, so that nothing of it is computed again."""
+        self.numbered().write.parquet(path)
+        return self.with_index(path)
+
+    def with_index(self, path: str) -> SampleEngine:
+        """The same engine with the index that save_index wrote."""
+        spark = self.tables["generation"].sparkSession
+        return type(self)(self.config, self.tables, self.time_periods, self.systems, self.areas, self.seed, spark.read.parquet(path))
+
+    def __len__(self) -> int:
+        return self.index().count()
+
+    def __getitem__(self, idx: int) -> DataFrame:
+        """The sample at a place of the index; a place outside it is an error."""
+        at = self.numbered().where(F.col("sample_idx") == idx).select("location_id", "t0")
+        if at.isEmpty():
+            raise ValueError(f"no sample {idx}")
+        return self.samples(at)
+
     # -- one modality at a time ----------------------------------------------------------------------------------
 
     def _points(self, name: str) -> DataFrame:
@@ -79,15 +106,24 @@ class SampleEngine:
         x, y = geo.convert(F.col("longitude"), F.col("latitude"), "lon_lat", system, self.areas.get(name))
         return self.locations.select("location_id", x.alias("px"), y.alias("py"))
 
-    def _cells(self, name: str, spec: Gridded) -> DataFrame:
-        """The table's cells in each location's window: adds location_id and the place in the window (wx, wy)."""
+    def projected_locations(self) -> DataFrame:
+        """locations with the coordinates (x_<system>, y_<system>) of every system that a source has."""
+        out = self.locations
+        for name, system in sorted(self.systems.items()):
+            if system != "lon_lat" and f"x_{system}" not in out.columns:
+                x, y = geo.convert(F.col("longitude"), F.col("latitude"), "lon_lat", system, self.areas.get(name))
+                out = out.withColumn(f"x_{system}", x).withColumn(f"y_{system}", y)
+        return out
+
+    def _cells(self, name: str, spec: Gridded, wanted: DataFrame) -> DataFrame:
+        """The cells in each location's window at the times (rows) of wanted: adds location_id and the place in the window (wx, wy)."""
         table, width, height = self.tables[name], spec.crop.image_size_pixels_width, spec.crop.image_size_pixels_height
         x_axis = grid.axis_index(table.select(F.col("x").alias("coord")))
         y_axis = grid.axis_index(table.select(F.col("y").alias("coord")))
         n_x, n_y = x_axis.count(), y_axis.count()
         at = grid.nearest_index(grid.nearest_index(self._points(name), x_axis, "px", "cx"), y_axis, "py", "cy")
         axes = x_axis.select(F.col("coord").alias("x"), F.col("idx").alias("x_idx")), y_axis.select(F.col("coord").alias("y"), F.col("idx").alias("y_idx"))
-        cells = table.join(F.broadcast(axes[0]), "x").join(F.broadcast(axes[1]), "y")
+        cells = table.join(wanted.distinct(), wanted.columns, "left_semi").join(F.broadcast(axes[0]), "x").join(F.broadcast(axes[1]), "y")
         low_x, high_x, low_y, high_y = grid.extent(at, width, height)
         cells = cells.where(F.col("x_idx").between(low_x, high_x) & F.col("y_idx").between(low_y, high_y))
         near = grid.crop(at.select("location_id", "cx", "cy"), cells, width, height, n_x, n_y)
@@ -111,13 +147,25 @@ class SampleEngine:
 
         return level(shape, F.lit(0))
 
-    def _image(self, sliced: DataFrame, spec: Gridded, time: str, steps: int, prefix: str, more: Sequence[str] = ()) -> DataFrame:
+    @staticmethod
+    def shape(spec: Gridded) -> tuple[int, int, int, int]:
+        """(steps, channels, width, height) of a gridded source's array."""
+        return spec.window.steps, len(spec.channels), spec.crop.image_size_pixels_width, spec.crop.image_size_pixels_height
+
+    def _image(self, sliced: DataFrame, spec: Gridded, time: str, prefix: str, more: Sequence[str] = ()) -> DataFrame:
+        """Each sample's values as a dense array: every value has its own place, a missing pixel is filled, a repeated one an error."""
+        steps, channels, width, height = shape = self.shape(spec)
+        w = spec.window
+        first = periods.ceil_time(F.col("t0") + periods.minutes(w.interval_start_minutes), w.time_resolution_minutes)
+        step = ((periods.micros(time) - periods.micros(first)) / F.lit(w.time_resolution_minutes * 60_000_000)).cast("int")
+        place = (((step * channels + F.col("channel_pos")) * width + F.col("wx")) * height + F.col("wy")).cast("int")
         value = features.fill_missing(F.col("value"), spec.dropout.dropout_value).cast("float")
-        rows = F.array_sort(F.collect_list(F.struct(time, "channel_pos", "wx", "wy", value.alias("value"))))
         frames = F.array_sort(F.collect_set(F.struct(time, *more)))
-        out = sliced.groupBy("location_id", "t0").agg(rows.alias("_r"), frames.alias("_f"))
-        shape = (steps, len(spec.channels), spec.crop.image_size_pixels_width, spec.crop.image_size_pixels_height)
-        return out.select("location_id", "t0", F.col("_r.value").alias("_flat"), "_f").withColumn(prefix, self._nested(F.col("_flat"), shape)).drop("_flat")
+        out = sliced.groupBy("location_id", "t0").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), value.alias("value")))).alias("_r"), frames.alias("_f"))
+        every, fill = F.sequence(F.lit(0), F.lit(steps * channels * width * height - 1)), F.lit(spec.dropout.dropout_value).cast("float")
+        known = F.map_from_entries("_r")
+        flat = F.when(F.col("_r.place") == every, F.col("_r.value")).otherwise(F.transform(every, lambda k: F.coalesce(F.try_element_at(known, k), fill)))
+        return out.select("location_id", "t0", flat.alias("_flat"), "_f").withColumn(prefix, self._nested(F.col("_flat"), shape)).drop("_flat")
 
     def generation_windows(self, index: DataFrame, concurrent: bool = False) -> DataFrame:
         g = self.config.generation
@@ -135,30 +183,26 @@ class SampleEngine:
         s = self.config.satellite
         w = s.window
         by = [] if concurrent else ["location_id"]
-        out = slices.time_slice(self._cells("sat", s), index, w.interval_start_minutes, w.interval_end_minutes, w.time_resolution_minutes, ["location_id"], "time_utc")
+        times = slices.targets(index.select("t0").distinct(), w.interval_start_minutes, w.interval_end_minutes, w.time_resolution_minutes).select(F.col("target").alias("time_utc"))
+        out = slices.time_slice(self._cells("sat", s, times), index, w.interval_start_minutes, w.interval_end_minutes, w.time_resolution_minutes, ["location_id"], "time_utc")
         out = slices.history_dropout(out, s.dropout.dropout_timedeltas_minutes, s.dropout.dropout_fraction, "value", "time_utc", by=[F.lit("sat"), *by], seed=self.seed)
         out = features.normalise(out, self._constants(s))
-        packed = self._image(out, s, "time_utc", w.steps, "satellite_actual")
+        packed = self._image(out, s, "time_utc", "satellite_actual")
         return packed.withColumn("satellite_time_utc", F.transform("_f", lambda r: periods.micros(r["time_utc"]) * F.lit(1000.0))).drop("_f")
 
     def forecast_windows(self, name: str, nwp: NWP, index: DataFrame, concurrent: bool = False) -> DataFrame:
-        w, table = nwp.window, self._cells(f"nwp:{name}", nwp)
+        w, table, d = nwp.window, self.tables[f"nwp:{name}"], nwp.dropout
         more = w.time_resolution_minutes if nwp.accum_channels else 0
-        max_step = self.tables[f"nwp:{name}"].agg(F.max("step")).first()[0]
+        max_step = table.agg(F.max("step")).first()[0]
         by = [F.lit(name)] + ([] if concurrent else ["location_id"])
         # One row per run, then per location and reference time, and only then the cells.
-        inits = self.tables[f"nwp:{name}"].select("init_time_utc").distinct()
-        wanted = slices.targets(index, w.interval_start_minutes, w.interval_end_minutes + more, w.time_resolution_minutes)
-        d = nwp.dropout
-        cut = F.coalesce(slices.cutoff(slices.draw(self.seed, *by, F.col("t0")), d.dropout_timedeltas_minutes, d.dropout_fraction), F.lit(0)) if d.dropout_timedeltas_minutes else F.lit(0)
-        wanted = wanted.withColumn("bound", F.least(F.col("target"), F.col("t0") + periods.minutes(cut)))
-        runs = slices.asof_runs(inits, wanted, max_step, init="init_time_utc").drop("bound")
-        runs = runs.withColumn("step", ((periods.micros("target") - periods.micros("init_time_utc")) / F.lit(60_000_000)).cast(table.schema["step"].dataType))
-        out = runs.join(table, ["location_id", "init_time_utc", "step"])
+        runs = slices.forecast_runs(table.select("init_time_utc").distinct(), index, w.interval_start_minutes, w.interval_end_minutes + more, w.time_resolution_minutes, max_step, (), d.dropout_timedeltas_minutes, d.dropout_fraction, self.seed, by, "init_time_utc")
+        runs = runs.withColumn("step", F.col("step").cast(table.schema["step"].dataType))
+        out = runs.join(self._cells(f"nwp:{name}", nwp, runs.select("init_time_utc", "step")), ["location_id", "init_time_utc", "step"])
         if nwp.accum_channels:
             out = slices.lead_difference(out, nwp.accum_channels, ["location_id", "t0", "wx", "wy"], "target")
         out = features.normalise(out, self._constants(nwp))
-        packed = self._image(out, nwp, "target", w.steps, "nwp", ["init_time_utc", "step"])
+        packed = self._image(out, nwp, "target", "nwp", ["init_time_utc", "step"])
         struct = F.struct(
             "nwp", F.array(*(F.lit(c) for c in nwp.channels)).alias("nwp_channel_names"), F.transform("_f", lambda r: periods.micros(r["init_time_utc"]) * F.lit(1000.0)).alias("nwp_init_time_utc"),
             F.transform("_f", lambda r: F.floor(r["step"] / 60).cast("int")).alias("nwp_step"), F.col("_f.step").alias("nwp_step_minutes"), F.transform("_f", lambda r: periods.micros(r["target"]) * F.lit(1000.0)).alias("nwp_target_time_utc"),
@@ -190,6 +234,8 @@ class SampleEngine:
             raise ValueError(f"no valid sample at {t0} for location {location_id}")
         return self.samples(index)
 
+    get_sample = sample
+
     def batches(self, index: DataFrame | None = None) -> DataFrame:
         """One row per t0: the samples of all its locations as an array ordered by location_id.  Needs complete generation."""
         if not self.complete():
@@ -197,9 +243,58 @@ class SampleEngine:
         made = self.samples(index, concurrent=True)
         return made.groupBy("t0").agg(F.array_sort(F.collect_list(F.struct("location_id", *(c for c in made.columns if c not in ("location_id", "t0"))))).alias("samples"))
 
+    def checked(self, samples: DataFrame) -> DataFrame:
+        """samples, whose arrays must have the configured lengths; another length is an error when they are read."""
+        c, expected = self.config, {"generation": F.size("generation")}
+        steps = {"generation": c.generation.window.steps}
+        if c.satellite:
+            expected["satellite_actual"], steps["satellite_actual"] = F.array(F.size("satellite_actual"), *self._sizes("satellite_actual")), list(self.shape(c.satellite))
+        for name, nwp in c.nwp.items():
+            expected[f"nwp_{name}"], steps[f"nwp_{name}"] = F.array(F.size(f"nwp_{name}.nwp"), *self._sizes(f"nwp_{name}.nwp")), list(self.shape(nwp))
+        if c.solar_position:
+            expected["solar_azimuth"], steps["solar_azimuth"] = F.size("solar_azimuth"), c.solar_position.steps
+        for name, found in expected.items():
+            want = F.array(*(F.lit(x) for x in steps[name])) if isinstance(steps[name], list) else F.lit(steps[name])
+            samples = samples.where(F.when(found == want, True).otherwise(F.raise_error(F.concat(F.lit(f"{name} has the shape "), found.cast("string"), F.lit(f", not {steps[name]}"))).cast("boolean")))
+        return samples
+
+    @staticmethod
+    def _sizes(name: str) -> list[Column]:
+        """The sizes of an array's inner levels, of its first elements."""
+        one = F.col(name)
+        out = []
+        for _ in range(3):
+            one = F.get(one, 0)
+            out.append(F.size(one))
+        return out
+
+
+class ConcurrentEngine(SampleEngine):
+    """The batches of all locations at a time: one item per reference time at which generation is complete."""
+
+    def times(self) -> DataFrame:
+        """(t0, sample_idx): the valid reference times in order, from 0."""
+        one = self.index().select("t0").distinct()
+        return grid.number_samples(one.withColumn("location_id", F.lit(0))).select("t0", "sample_idx")
+
+    def __len__(self) -> int:
+        return self.index().select("t0").distinct().count()
+
+    def __getitem__(self, idx: int) -> DataFrame:
+        return self._batch(self.times().where(F.col("sample_idx") == idx), f"no batch {idx}")
+
+    def get_sample(self, t0) -> DataFrame:
+        """The batch of a valid reference time; another time is an error."""
+        return self._batch(self.times().where(F.col("t0") == F.lit(t0).cast("timestamp_ntz")), f"no valid batch at {t0}")
+
+    def _batch(self, times: DataFrame, message: str) -> DataFrame:
+        if times.isEmpty():
+            raise ValueError(message)
+        return self.batches(self.index().join(times.select("t0"), "t0", "left_semi"))
+
 
-def to_tensors(batch: dict):
-    """A nested dictionary of arrays as torch tensors, where torch is installed; other values stay."""
+def to_tensors(batch: dict, device: str | None = None):
+    """A nested dictionary of arrays as torch tensors (on a device), where torch is installed; other values stay."""
     import numpy as np
     import torch
 
@@ -207,6 +302,6 @@ def to_tensors(batch: dict):
         if isinstance(x, dict):
             return {k: one(v) for k, v in x.items()}
         x = np.asarray(x)
-        return torch.as_tensor(x) if x.dtype.kind in "bifu" else x
+        return torch.as_tensor(x, device=device) if x.dtype.kind in "bifu" else x
 
     return one(batch)

@@ -10,7 +10,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,25 +37,41 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
 
 def read_parts(spark: SparkSession, paths: str | Sequence[str], public: bool = False) -> DataFrame:
     """One table of all paths (concatenated by column name)."""
-    if public:
-        spark.conf.set("fs.s3a.aws.credentials.provider", "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider")
-    return spark.read.parquet(*([paths] if isinstance(paths, str) else paths))
+    # For this read alone: other sources of the session keep their own credentials.
+    options = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"} if public else {}
+    return spark.read.options(**options).parquet(*([paths] if isinstance(paths, str) else paths))
+
+
+def _placed(df: DataFrame, axis: str) -> DataFrame:
+    """(place from 0, coordinate) of an axis: as many rows as the grid has pixels along one side."""
+    return df.select(axis).distinct().withColumn("_place", F.row_number().over(Window.orderBy(axis)) - 1)
 
 
 def concat(parts: Sequence[DataFrame], axes: Sequence[str] = ()) -> DataFrame:
-    """All rows of the parts; parts whose axes differ from the first one's are reported."""
+    """All rows of the parts.  A part whose axis differs from the first one's is reported and gets the first one's coordinates.
+
+    Coordinates are matched by their place on the axis; another number of them is an error.
+    """
     if not parts:
         raise ValueError("nothing to concatenate")
     out = parts[0]
+    first = {a: _placed(parts[0], a) for a in axes}
     for k, p in enumerate(parts[1:], 1):
-        if any(not p.select(a).distinct().exceptAll(parts[0].select(a).distinct()).isEmpty() for a in axes):
-            warnings.warn(f"part {k} has other coordinates than the first", stacklevel=2)
+        for a in axes:
+            own = _placed(p, a)
+            met = first[a].withColumnRenamed(a, "_first").join(own, "_place", "full_outer")
+            n, differ = met.agg(F.count(F.when(F.col("_first").isNull() | F.col(a).isNull(), 1)), F.count(F.when(F.col("_first") != F.col(a), 1))).first()
+            if n:
+                raise ValueError(f"part {k} has another number of coordinates on {a} than the first")
+            if differ:
+                warnings.warn(f"part {k} has other coordinates on {a} than the first, which are used for it", stacklevel=2)
+                p = p.join(F.broadcast(met.select(a, "_first")), a).withColumn(a, F.col("_first")).drop("_first")
         out = out.unionByName(p)
     return out
 
 
 def check_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """df, if no combination of the keys occurs twice."""
+    """df, if no combination of the keys occurs twice (one grouped pass over the keys)."""
     if not df.groupBy(*keys).count().where("count > 1").isEmpty():
         raise ValueError(f"{list(keys)} are not unique")
     return df

@@ -168,7 +168,7 @@ def test_sources(spark, tmp_path):
     assert readers.open_nwp(spark, str(tmp_path / "icon"), "icon-eu").count() == 78
     with pytest.raises(KeyError):
         readers.open_satellite(spark, str(tmp_path / "gfs"))
-    with pytest.raises(KeyError):
-        grid.select_channels(out, ["missing"])
+    with pytest.raises(Exception, match="channels not found: missing"):
+        grid.select_channels(out, ["t", "missing"]).collect()
     with pytest.raises(ValueError):
         readers.check_unique(out.union(out), ["channel"])
