@@ -2,12 +2,14 @@
 
 The automaton of all templates is built once per task (its size is that of the
 templates).  Every whole text is streamed through it: each word's matching
-statistic is the longest template substring that ends there.  Maximal matches
-of at least MIN_MATCH words are chained, per template, into covered spans.
+statistic is the longest template substring that ends there, for each template
+that has one.  Maximal matches of at least MIN_MATCH words are chained, per
+template, into covered spans.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ TEMPLATES = {
     "apache-2.0-grant": "licensed under the apache license version 2.0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit-notice": "licensed under the mit license",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
+    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
     "gpl-3.0": "this work is licensed under the gnu general public license version 3",
     "mpl-2.0": "this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not distributed with this file you can obtain one at",
@@ -43,21 +45,21 @@ def _tokens(text: str) -> list[str]:
 
 
 class SuffixAutomaton:
-    """Generalised suffix automaton over token ids; states know the templates and one end place in each."""
+    """Generalised suffix automaton over token ids; states know all their end places in every template."""
 
     def __init__(self, templates: list[list[int]]):
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.places: list[dict[int, int]] = [{}]  # template -> the smallest end position
+        self.places: list[dict[int, list[int]]] = [{}]  # template -> its end positions, ascending
         for k, tokens in enumerate(templates):
             last = 0
             for pos, c in enumerate(tokens):
                 last = self._extend(last, c)
-                self.places[last].setdefault(k, pos)
+                self.places[last].setdefault(k, []).append(pos)
         for s in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             up = self.places[self.link[s]]
             for k, pos in self.places[s].items():
-                up[k] = min(pos, up.get(k, pos))
+                up[k] = sorted({*pos, *up.get(k, ())})
 
     def _state(self, length: int, nxt: dict[int, int], link: int) -> int:
         self.next.append(nxt)
@@ -87,12 +89,15 @@ class SuffixAutomaton:
             self.link[cur] = q if self.length[q] == self.length[p] + 1 else self._split(p, q, c)
         return cur
 
-    def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, dict[int, int]]]:
-        """(first, last, places) of the matches of `least` tokens or more that are longest on both sides."""
-        out, state, length, before = [], 0, 0, None
+    def matches(self, tokens: list[int], least: int) -> list[tuple[int, int, int, list[int]]]:
+        """(template, first, last, its end positions) of each template's matches of `least` tokens or more that are longest on both sides.
+
+        The state after a token gives the longest match of any template; the states on its chain of suffix links give
+        the shorter ones of the others, so a longer match of one template hides none of another.
+        """
+        out, state, length = [], 0, 0
+        open_: dict[int, tuple[int, list[int]]] = {}  # template -> its match that ends at the token before
         for i, c in enumerate([*tokens, -1]):
-            if length >= least and c not in self.next[state]:
-                out.append((i - length, i - 1, before))
             while state and c not in self.next[state]:
                 state = self.link[state]
                 length = self.length[state]
@@ -100,7 +105,15 @@ class SuffixAutomaton:
                 state, length = self.next[state][c], length + 1
             else:
                 length = 0
-            before = self.places[state]
+            now: dict[int, tuple[int, list[int]]] = {}
+            s, size = state, length
+            while s > 0 and size >= least:
+                for k, pos in self.places[s].items():
+                    now.setdefault(k, (size, pos))
+                s = self.link[s]
+                size = self.length[s]
+            out += [(k, i - size, i - 1, pos) for k, (size, pos) in open_.items() if now.get(k, (0,))[0] != size + 1]
+            open_ = now
         return out
 
 
@@ -128,15 +141,16 @@ class Scanner:
         for b, e in zip(begin, end, strict=True):
             if e - b < MIN_MATCH:
                 continue
-            for first, last, places in self.automaton.matches(ids[b:e].tolist(), MIN_MATCH):
+            for k, first, last, places in self.automaton.matches(ids[b:e].tolist(), MIN_MATCH):
                 first, last = first + int(b), last + int(b)
-                for k, pos in places.items():
-                    of = chains.setdefault(k, [])
-                    if of and first - of[-1][1] <= MAX_GAP + 1 and pos > of[-1][3]:
-                        of[-1][2] += max(0, last - max(first - 1, of[-1][1]))
-                        of[-1][1], of[-1][3] = max(last, of[-1][1]), pos
-                    else:
-                        of.append([first, last, last - first + 1, pos])
+                of = chains.setdefault(k, [])
+                # The next place in the template at which the match can go on; a repeated phrase has several.
+                at = bisect_right(places, of[-1][3]) if of else len(places)
+                if at < len(places) and first - of[-1][1] <= MAX_GAP + 1:
+                    of[-1][2] += max(0, last - max(first - 1, of[-1][1]))
+                    of[-1][1], of[-1][3] = max(last, of[-1][1]), places[at]
+                else:
+                    of.append([first, last, last - first + 1, places[0]])
         return [(k, c[0], c[1], min(c[2], self.sizes[k])) for k, cs in sorted(chains.items()) for c in cs]
 
     def scan(self, column: pa.ChunkedArray) -> dict[str, list]:
@@ -182,7 +196,7 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     (null without one).  spans holds the chains of template matches that cover 60 % of the template, or 12 words of a
     long one; their templates join the base labels in `labels`.  score: the largest covered share of a template, at
     least 0.5 with a base phrase, else 0.  Null is the empty text, which has no words, labels or spans.  Repeated rows
-    and null ids each get their row; other columns are ignored.  No shuffle; one block of text is held at a time.
+    and null ids each get their row, an empty table gives none; other columns are ignored.  No shuffle; one block of text is held at a time.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     long = pa.int64()

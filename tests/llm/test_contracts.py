@@ -74,3 +74,19 @@ def test_quality_posterior_against_plain_sums(spark):
         host = (tells * x.mean() + b * mean) / (tells + b)
         for p, y in v.items():
             assert got[h, p] == pytest.approx((sum(y) + a * host) / (len(y) + a), rel=1e-6)
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e7, 1e30])
+def test_top_k_of_any_size_of_numbers(spark, scale):
+    rng = np.random.default_rng(9)
+    rows = [(k, [float(x) for x in rng.integers(-4, 5, 6) * scale]) for k in range(230)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<double>, id string")
+    got = sorted(tuple(r) for r in topk.top_k(df, scale=1.0).collect())
+    want = []
+    for q in range(0, 230, 50):
+        best = sorted((-sum(int(a) * int(b) for a, b in zip(rows[q][1], v)), i) for i, v in rows if i != q)[:5]
+        want += [(q, r + 1, i, max(-(2**63 - 1), min(2**63 - 1, -s))) for r, (s, i) in enumerate(best)]
+    assert len(got) == len(want) and [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in want]
+    if scale < 1e30:
+        assert got == want
+    assert topk.top_k(df.limit(0)).count() == 0

@@ -8,6 +8,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 
 import pytest
 from pyspark.sql import functions as F
@@ -37,24 +38,23 @@ def texts():
     return [r[0] for r in got] + [None, "", "!!!", "one", "one two", "Ünï x", got[3][0], got[3][0], "ab " * 600, "long " * 3000 + got[5][0]]
 
 
-def test_lm_scoring(spark, texts):
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_lm_scoring(spark, texts, order):
     df = frame(spark, texts)
-    got = {r["doc_id"]: r for r in lm_scoring.stupid_backoff(df, chunk_mb=0.001).collect()}
-    uni, bi = Counter(), Counter()
+    got = {r["doc_id"]: r for r in lm_scoring.stupid_backoff(df, chunk_mb=0.001, order=order).collect()}
+    seen = Counter()
     for t in texts:
         w = words(t)
-        uni.update(w)
-        bi.update(zip(w, w[1:]))
-    n = sum(uni.values())
+        seen.update(tuple(w[i : i + m]) for m in range(1, order + 1) for i in range(len(w) - m + 1))
+    n = sum(c for g, c in seen.items() if len(g) == 1)
     assert len(got) == len(texts)
     for k, t in enumerate(texts):
         w, total, back = words(t), 0.0, 0
-        for i, x in enumerate(w):
-            if i and bi[w[i - 1], x] >= 2:
-                total += math.log(bi[w[i - 1], x] / uni[w[i - 1]])
-            else:
-                total += math.log(uni[x] / n) + (math.log(0.4) if i else 0)
-                back += bool(i)
+        for i in range(len(w)):
+            most = min(order, i + 1)
+            m = next((m for m in range(most, 1, -1) if seen[tuple(w[i - m + 1 : i + 1])] >= 2), 1)
+            total += (most - m) * math.log(0.4) + math.log(seen[tuple(w[i - m + 1 : i + 1])] / (seen[tuple(w[i - m + 1 : i])] if m > 1 else n))
+            back += m < most
         assert got[k]["n_tokens"] == len(w) and got[k]["n_backoff"] == back and got[k]["log_score"] == pytest.approx(total, abs=1e-6)
         assert (got[k]["score"] is None) == (not w)
     assert lm_scoring.stupid_backoff(df.limit(0)).count() == 0
@@ -80,12 +80,37 @@ def test_suffix_automaton_matches():
     rng = random.Random(3)
     lists = [[rng.randint(1, 4) for _ in range(rng.randint(3, 25))] for _ in range(6)]
     sam = license_scan.SuffixAutomaton(lists)
-    subs = {tuple(x[i:j]) for x in lists for i in range(len(x)) for j in range(i + 1, len(x) + 1)}
     for _ in range(200):
         t = [rng.randint(1, 5) for _ in range(30)]
-        spans = {(i, j) for i in range(30) for j in range(i + 3, 31) if tuple(t[i:j]) in subs}
-        longest = {(i, j - 1) for i, j in spans if not any((a <= i and b > j) or (a < i and b >= j) for a, b in spans)}
-        assert {(a, b) for a, b, _ in sam.matches(t, 3)} == longest
+        want = {}
+        for k, x in enumerate(lists):
+            ends: dict = {}
+            for i in range(len(x)):
+                for j in range(i + 3, len(x) + 1):
+                    ends.setdefault(tuple(x[i:j]), []).append(j - 1)
+            spans = {(i, j) for i in range(30) for j in range(i + 3, 31) if tuple(t[i:j]) in ends}
+            want |= {(k, i, j - 1): ends[tuple(t[i:j])] for i, j in spans if not any((a <= i and b > j) or (a < i and b >= j) for a, b in spans)}
+        assert {(k, a, b): pos for k, a, b, pos in sam.matches(t, 3)} == want
+
+
+def test_license_chains():
+    """Chains of a template with a repeated phrase, a gap, and words of another template in between."""
+    a = "one two three four five six seven eight one two three four nine ten eleven twelve thirteen fourteen"
+    b = "five six seven eight one two three four other words of its own here"
+    scanner = license_scan.Scanner({"a": a, "b": b}, {"two three": "x"})
+
+    def spans(text):
+        got = scanner.scan(pa.chunked_array([[text]]))
+        return [(s["template"], s["first"], s["last"], s["covered"]) for s in got["spans"][0]], got["labels"][0], got["score"][0]
+
+    assert spans(a) == ([("a", 0, 17, 18)], "a,x", 1.0)
+    assert spans(b.upper()) == ([("b", 0, 13, 14)], "b,x", 1.0)
+    words_ = a.split()
+    # Three words are missing in the middle, three others are put in: two matches, one chain.
+    assert spans(" ".join(words_[:8] + ["x", "y", "z"] + words_[10:]))[0] == [("a", 0, 18, 16)]
+    # The end of the licence before its beginning is no chain.
+    assert spans(" ".join(words_[12:] + words_[:6]))[0] == []
+    assert spans(" ".join(words_[:8] + ["x"] * 30 + words_[8:]))[0] == []
 
 
 def test_decontamination(spark, texts):
@@ -129,7 +154,9 @@ def test_top_k(spark, monkeypatch):
     centres = rng.normal(size=(12, 16))
     rows = [(k, (centres[k % 12] / 4 + rng.normal(size=16) * (0.01 if k % 3 else 0.2)).tolist()) for k in range(1500)]
     rows += [(1500, None), (1550, [1.0, None] * 8), (1600, [float("nan")] * 16), (None, [0.5] * 16), (1650, [0.25] * 3), (1651, [0.5] * 3), (7, rows[7][1]), (1700, rows[0][1]), (1701, rows[0][1])]
-    monkeypatch.setattr(topk, "VECTOR_BLOCK", 400)
+    monkeypatch.setattr(topk, "VECTOR_BLOCK", 200)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(topk, "PIVOTS", 6)
     got = [tuple(r) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()]
     seen = {i: np.floor(np.float32(v).astype(float) * 256).astype(int) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(v).all()}
     want = []
