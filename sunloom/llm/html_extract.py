@@ -18,11 +18,10 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Callable, Collection, Iterator
-from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import saved
@@ -37,6 +36,10 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _CLOSES_P = _BLOCK - {"td", "th", "tr", "tbody", "thead", "tfoot", "caption", "body", "html"}
 _IMPLIED = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "tbody": ({"tbody", "thead", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tr", "td", "th"}, {"table"})}
 _NAMES = frozenset("ad ads advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments respond reply replies disqus cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup social share sharing related recommended widget pagination pager toolbar skip login search paywall disclaimer feedback".split())
+#: Words that say nothing by themselves in a name like `ad-slot` or `comments-section`.
+_NEUTRAL = frozenset("area article bar block body bottom box button buttons col column container content desktop dynamic entry fixed form group header holder inline inner item items js latest left link links list main message mobile module outer page panel popular post posts primary reader recent right row secondary section site slot small sticky text thread top unit user wrap wrapper x".split())
+#: Elements whose id says what they are for; that of a heading or paragraph is a place to link to.
+_BOXES = frozenset("div section ul ol dl table ins span details figure".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar dialog alert alertdialog".split())
 _MAIN_NAMES = frozenset(("main", "articlebody"))
 _WORDS = re.compile(r"[a-z]+")
@@ -63,8 +66,13 @@ def _outside(tag: str, a: dict[str, str], in_main: bool) -> bool:
         return True
     if tag in ("html", "body", "main") or not a:
         return False
-    names = f"{a.get('class', '')} {a.get('id', '')} {a.get('aria-label', '')}"
-    return any(w in _NAMES for w in _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", names).lower()))
+    # A whole name must say so: `ad-slot` does, `search-results-table` and `related-work` do not.
+    names = f"{a.get('class', '')} {a.get('id', '') if tag in _BOXES else ''}".split()
+    for name in names:
+        words = _WORDS.findall(re.sub(r"(?<=[a-z])(?=[A-Z])", " ", name).lower())
+        if any(w in _NAMES for w in words) and all(w in _NAMES or w in _NEUTRAL for w in words):
+            return True
+    return False
 
 
 def parse(page: str) -> tuple[list[int], list[Block]]:
@@ -165,11 +173,9 @@ def _text_token(b: Block) -> int:
     return xxhash.xxh64_intdigest(f"{b.path}|{b.text}") >> 1
 
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").hostname or "").lower()
-    except ValueError:
-        return ""
+def host_of(url: Column) -> Column:
+    """A URL's host in lower case, without user and port; empty if it has none."""
+    return F.lower(F.coalesce(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^:/?#]*)", 1), F.lit("")))
 
 
 def main_text(page: str, template: Collection[int] = ()) -> str:
@@ -183,7 +189,7 @@ def main_text(page: str, template: Collection[int] = ()) -> str:
 
 
 def _told(pages: DataFrame, rows: DataFrame) -> tuple[DataFrame, Callable[[pa.RecordBatch], list[dict[int, int]]]]:
-    """Pages (_url and _html last), and what gives each page of a batch its host's map of rows (host, token, value).
+    """Pages (host first), and what gives each page of a batch its host's map of rows (host, token, value).
 
     Up to BROADCAST_ROWS rows go to every task; more are joined, as a last column.
     """
@@ -192,58 +198,61 @@ def _told(pages: DataFrame, rows: DataFrame) -> tuple[DataFrame, Callable[[pa.Re
         for host, token, value in rows.collect():
             known.setdefault(host, {})[token] = value
         shared = pages.sparkSession.sparkContext.broadcast(known)  # BROADCAST_ROWS pairs of numbers at most
-        at = len(pages.columns) - 2
-        return pages, lambda b: [shared.value.get(host_of(x), {}) for x in b.column(at).to_pylist()]
-    host = F.lower(F.coalesce(F.regexp_extract("_url", r"^[a-zA-Z][\w+.-]*://(?:[^/?#@]*@)?([^:/?#]*)", 1), F.lit("")))
-    per = rows.groupBy(F.col("host").alias("_h")).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_told"))
-    joined = pages.withColumn("_host", host).join(per, F.col("_host") == F.col("_h"), "left").select(*pages.columns, "_told")
+        return pages, lambda b: [shared.value.get(x, {}) for x in b.column(0).to_pylist()]
+    per = rows.groupBy("host").agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("_told"))
     at = len(pages.columns)
-    return joined, lambda b: [dict(x or ()) for x in b.column(at).to_pylist()]
+    return pages.join(per, "host", "left").select(*pages.columns, "_told"), lambda b: [dict(x or ()) for x in b.column(at).to_pylist()]
 
 
-def _classes(source: DataFrame) -> DataFrame:
-    """(host, token, value): the tokens of the large and frequent classes of each host; value: the class.
+def _read(source: DataFrame) -> DataFrame:
+    """(host, digest, elements, tokens, at, size): every distinct page of a host as its tokens, written once.
 
-    A class is the tokens of a host with one occurrence vector over its distinct pages: copies count once.  It is frequent if it stands in SUPPORT of the pages, in
-    two at least, and large if it has elements and texts: a text whose vector is no element's belongs to no template,
-    however common it is.  There are fewer such tokens than twice a page's, however many pages a host has.
+    elements: the paths of its elements in order; of its texts: token, elements before it, length (below 0: dropped).
     """
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done: set[tuple[str, bytes]] = set()  # a group of copies is a row per task before the shuffle
         for b in batches:
-            hosts, digests, tokens, counts, kinds = [], [], [], [], []
-            for url, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                key = (host_of(url), xxhash.xxh3_128_digest((page or "").encode("utf-8", "surrogatepass")))
+            out: list[tuple] = []
+            for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                key = (host, xxhash.xxh3_128_digest((page or "").encode("utf-8", "surrogatepass")))
                 if not page or key in done:
                     continue
                 done.add(key)
                 elements, blocks = parse(page)
-                texts = Counter(_text_token(x) for x in blocks)
-                elements = Counter(elements)
-                if elements or texts:
-                    hosts.append(key[0])
-                    digests.append(key[1])
-                    tokens.append([*elements, *texts])
-                    counts.append([*elements.values(), *texts.values()])
-                    kinds.append(len(elements))
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(digests, pa.binary()), pa.array(tokens, pa.list_(pa.int64())), pa.array(counts, pa.list_(pa.int32())), pa.array(kinds, pa.int32())], names=["host", "digest", "tokens", "counts", "elements"])
+                if elements or blocks:
+                    out.append((*key, elements, [_text_token(x) for x in blocks], [x.at for x in blocks], [-len(x.text) if x.dropped else len(x.text) for x in blocks]))
+            kinds = (pa.string(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate(kinds)], names=["host", "digest", "elements", "tokens", "at", "size"])
+
+    kinds = "host string, digest binary, elements array<long>, tokens array<long>, at array<int>, size array<int>"
+    return saved(source.select("host", "_html").mapInArrow(run, kinds).dropDuplicates(["host", "digest"]))
+
+
+def _classes(distinct: DataFrame) -> DataFrame:
+    """(host, token, value): the tokens of the large and frequent classes of each host; value: the class.
+
+    A class is the tokens of a host with one occurrence vector over its distinct pages: copies count once.  It is
+    frequent if it stands in SUPPORT of the pages, in two at least, and large if it has elements and texts: a text whose
+    vector is no element's belongs to no template, however common it is.  There are fewer such tokens than twice a
+    page's, however many pages a host has.
+    """
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sums: dict[tuple[str, int], list[int]] = {}
-            for host, digest, tokens, counts, elements in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for host, digest, elements, tokens in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 mine = int.from_bytes(digest[:8], "little")
-                for k, (token, count) in enumerate(zip(tokens, counts, strict=True)):
-                    s = sums.setdefault((host, token), [0, 0, int(k >= elements)])
-                    s[0] = (s[0] + count * mine) & 0xFFFFFFFF
-                    s[1] += 1
+                for kind, found in ((0, Counter(elements)), (1, Counter(tokens))):
+                    for token, count in found.items():
+                        s = sums.setdefault((host, token), [0, 0, kind])
+                        s[0] = (s[0] + count * mine) & 0xFFFFFFFF
+                        s[1] += 1
                 sums.setdefault((host, 0), [0, 0, 0])[1] += 1
             keys = list(sums)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([sums[k][j] for k in keys], pa.int64()) for j in range(3))], names=["host", "token", "vector", "n", "kind"])
 
-    distinct = source.mapInArrow(read, "host string, digest binary, tokens array<long>, counts array<int>, elements int").dropDuplicates(["host", "digest"])
-    counted = distinct.mapInArrow(add, "host string, token long, vector long, n long, kind long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.max("kind").alias("kind"))
+    counted = distinct.select("host", "digest", "elements", "tokens").mapInArrow(add, "host string, token long, vector long, n long, kind long").groupBy("host", "token").agg(F.sum("vector").alias("vector"), F.sum("n").alias("n"), F.max("kind").alias("kind"))
     counted = saved(counted.where("n > 1"))
     sizes = counted.where("token = 0").select("host", F.col("n").alias("pages"))
     frequent = counted.where("token <> 0").join(sizes, "host").where(F.col("n") >= SUPPORT * F.col("pages"))
@@ -251,48 +260,46 @@ def _classes(source: DataFrame) -> DataFrame:
     return saved(frequent.join(large, ["host", "vector", "n"]).select("host", "token", F.xxhash64("vector", "n").alias("value")))
 
 
-def slots(page: str, classes: dict[int, int]) -> dict[int, tuple[int, int]]:
-    """(slot, company) of each text token of a page that is in a class and not dropped.
+def slots(elements: list[int], texts: list[tuple[int, int, int]], classes: dict[int, int]) -> dict[int, tuple[int, int]]:
+    """(slot, company) of each text token (token, at, size) of a page that is in a class and not dropped (size below 0).
 
     The slot: the elements of its class around it (after the last comes the first), -1 if it stands in several.  The
     company: the longest other text that is not dropped, 0 for none.
     """
-    elements, blocks = parse(page)
     of: dict[int, list[int]] = {}
     for k, token in enumerate(elements):
         if token in classes:
             of.setdefault(classes[token], []).append(k)
-    kept = [(_text_token(b), b) for b in blocks if not b.dropped]
-    longest = sorted({(-len(b.text), token) for token, b in kept})[:2]
+    kept = [x for x in texts if x[2] > 0]
+    longest = sorted({(-size, token) for token, _, size in kept})[:2]
     out: dict[int, tuple[int, int]] = {}
-    for token, b in kept:
+    for token, at, _ in kept:
         if token in classes:
             mine = of[classes[token]]
-            k = bisect_left(mine, b.at)
+            k = bisect_left(mine, at)
             slot = xxhash.xxh64_intdigest(f"{elements[mine[k - 1]]}|{elements[mine[k % len(mine)]]}") >> 1
             company = next((t for _, t in longest if t != token), 0)
             out[token] = (slot if out.get(token, (slot,))[0] == slot else -1, company)
     return out
 
 
-def templates(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(host, token): each host's template text, for every host with two distinct pages or more.
+def templates(source: DataFrame) -> DataFrame:
+    """(host, token): each host's template text, of rows (host, _html), for every host with two distinct pages or more.
 
     That is the text of large and frequent classes that stands in one slot of its class on all pages, in changing
     company: where the longest text beside it is always the same, the pages may be near copies, and nothing shows
     that their common text is a template's.
     """
-    source = pages.select(F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    classes = _classes(source)
-    joined, told = _told(source, classes)
+    distinct = _read(source)
+    joined, told = _told(distinct.drop("digest"), _classes(distinct))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             seen: dict[tuple[str, int], list[int]] = {}
-            for url, page, known in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), told(b), strict=True):
-                if known and page:
-                    for token, (slot, company) in slots(page, known).items():
-                        s = seen.setdefault((host_of(url), token), [slot, slot, company, company])
+            for host, elements, *texts, known in zip(*(c.to_pylist() for c in b.columns[:5]), told(b), strict=True):
+                if known:
+                    for token, (slot, company) in slots(elements, list(zip(*texts, strict=True)), known).items():
+                        s = seen.setdefault((host, token), [slot, slot, company, company])
                         s[:] = min(s[0], slot), max(s[1], slot), min(s[2], company), max(s[3], company)
             keys = list(seen)
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([seen[k][j] for k in keys], pa.int64()) for j in range(4))], names=["host", "token", "s0", "s1", "c0", "c1"])
@@ -306,19 +313,20 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
 
     text: the blocks of the main text in page order, each with its character references decoded, white space as one
     space and trimmed, joined by a newline; empty for null or empty html and for pages without text.  Nothing is cut.
-    Pages without a readable host form one group.  Null and repeated ids and urls keep their rows; other columns are
-    ignored.
+    Pages without a host form one group.  Null and repeated ids and urls keep their rows; an empty table gives none;
+    other columns are ignored.
     """
     kind = pages.schema[id_col].dataType.simpleString()
-    source = pages.select(F.col(id_col).alias("_id"), F.col(url_col).cast("string").alias("_url"), F.col(html_col).cast("string").alias("_html"))
-    rows = templates(pages, url_col, html_col).withColumn("value", F.lit(1))
+    url = F.col(url_col).cast("string")
+    source = pages.select(host_of(url).alias("host"), F.col(id_col).alias("_id"), url.alias("_url"), F.col(html_col).cast("string").alias("_html"))
+    rows = templates(source).withColumn("value", F.lit(1))
     joined, told = _told(source, saved(rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for page, known in zip(b.column(2).to_pylist(), told(b), strict=True):
+            for page, known in zip(b.column(3).to_pylist(), told(b), strict=True):
                 out.append(main_text(page or "", known.keys()))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string())], names=["_id", "_url", "text"])
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(out, pa.string())], names=["_id", "_url", "text"])
 
     return joined.mapInArrow(run, f"_id {kind}, _url string, text string").select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text")

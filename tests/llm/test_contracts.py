@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sunloom.llm import langid, quality, topk
+from sunloom.llm import decontaminate, html_extract, langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup, topk
 
 DATA = "/root/testdata/sf0.001"
 
@@ -90,3 +90,105 @@ def test_top_k_of_any_size_of_numbers(spark, scale):
     if scale < 1e30:
         assert got == want
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key binary, grp string, bucket long, _id string, host int, n int"
+
+
+def documents(spark, texts):
+    return spark.createDataFrame([(k, t, "en" if k % 3 else None, f"s{k % 2}" if k % 4 else None, None, b"k", "g", 7, "i", 3, 4) for k, t in enumerate(texts)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def inputs(spark):
+    long = " ".join(f"w{k % 9973}é" for k in range(300_000))
+    texts = ["the cat sat on the mat and looked at the dog all day", None, "", "x", long, "the cat sat on the mat and looked at the dog all day", " ".join(f"u{k}" for k in range(80))]
+    bench = spark.createDataFrame([(1, "the cat sat on the mat and looked at the dog all day", "x"), (None, None, "x")], "item_id long, text string, key string")
+    labels = spark.createDataFrame([(k, k % 2, k % 3 % 2, 0) for k in range(7)], "doc_id long, quality int, toxic int, _id int")
+    return documents(spark, texts), bench, labels
+
+
+OPERATORS = {
+    "op1": lambda d, b, l: lm_scoring.stupid_backoff(d, order=3), "op2": lambda d, b, l: license_scan.scan_licenses(d), "op5": lambda d, b, l: langid.identify(d, langid.fit(d)),
+    "op7": lambda d, b, l: suffix_dedup.dedup_digest(d), "op8": lambda d, b, l: mixing.mix_sources(d), "op9": lambda d, b, l: quality.classify(d, l), "op10": lambda d, b, l: near_dup.near_duplicates(d),
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_one_row_per_row_of_any_documents(spark, inputs, name):
+    """Null, empty, one-letter, repeated and very long texts, inner names as columns; then no rows at all."""
+    docs, bench, labels = inputs
+    out = OPERATORS[name](docs, bench, labels)
+    rows = {r["doc_id"]: r for r in out.collect()}
+    assert sorted(rows) == list(range(docs.count())) and out.count() == len(rows)
+    same = [c for c in out.columns if c not in ("doc_id", "lang", "source", "copies", "taken", "source_size", "target") and name != "op9"]
+    assert all(rows[0][c] == rows[5][c] for c in same)
+    assert OPERATORS[name](docs.limit(0), bench.limit(0), labels.limit(0)).count() == 0
+
+
+def test_decontamination_of_any_documents(spark, inputs):
+    docs, bench, _ = inputs
+    assert sorted(tuple(r)[:2] for r in decontaminate.matches(docs, bench).collect()) == [(0, 1), (5, 1)]
+    assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
+    assert decontaminate.matches(docs.limit(0), bench).count() == 0 == decontaminate.matches(docs, bench.limit(0)).count()
+
+
+def test_pages_of_any_kind(spark):
+    schema = "page_id long, url string, html string, host string, token long, _html string, digest binary"
+    long = "<body><article>" + "".join(f"<p>paragraph {k}</p>" for k in range(40_000)) + "</article></body>"
+    pages = [(1, None, None), (2, "", ""), (3, "//h.example/a", "<p>one</p>"), (3, "http://[::1]:80/x", "<p>two</p>"), (None, "http://u@H.Example:8080/b?x#y", "<article><p>three</p></article>"), (5, "mailto:x", long)]
+    df = spark.createDataFrame([(*p, "x", 1, "y", b"z") for p in pages], schema)
+    got = html_extract.extract(df)
+    assert got.columns == ["page_id", "url", "text"]
+    rows = {(r["page_id"], r["url"]): r["text"] for r in got.collect()}
+    assert rows[1, None] == rows[2, ""] == "" and rows[3, "//h.example/a"] == "one" and rows[3, "http://[::1]:80/x"] == "two"
+    assert len(rows[5, "mailto:x"].split("\n")) == 40_000
+    hosts = [r[0] for r in df.select(html_extract.host_of(F.col("url"))).collect()]
+    assert hosts == ["", "", "h.example", "[::1]", "h.example", ""]
+    assert html_extract.extract(df.limit(0)).count() == 0
+
+
+def test_names_in_articles_are_whole_names():
+    page = "<article><h2 id='related-work'>Related work</h2><p>alpha</p><div class='search-results-table'><p>table</p></div><p id='notice'>a notice of copyright</p><div class='ad-slot'>buy</div><section id='comments'><p>reader</p></section><p class='notice'>we use cookies</p><ul class='shareButtons'><li>share</li></ul></article>"
+    assert html_extract.main_text(page) == "Related work\nalpha\ntable\na notice of copyright"
+
+
+def test_equal_pages_of_a_host_keep_their_text(spark):
+    df = spark.createDataFrame([(k, "http://a.example/", "<body><h1>Same</h1><p>body text</p></body>") for k in range(25)], "page_id long, url string, html string")
+    assert {r["text"] for r in html_extract.extract(df).collect()} == {"Same\nbody text"}
+
+
+def test_classes_against_whole_occurrence_vectors(spark):
+    """The classes of summed fingerprints are those of the vectors themselves."""
+    rng = np.random.default_rng(3)
+    pages = []
+    for k in range(40):
+        inner = "".join(f"<p class=c{c}>text {c if rng.random() < 0.7 else k}</p>" for c in range(6) if rng.random() < 0.8)
+        pages.append(f"<body><div class=top><p>Welcome</p></div>{inner}<div class=end><p>Goodbye</p></div></body>")
+    df = spark.createDataFrame([("h", p) for p in pages + pages[:7]], "host string, _html string")
+    got: dict = {}
+    for r in html_extract._classes(html_extract._read(df)).collect():
+        got.setdefault(r["value"], set()).add(r["token"])
+    vectors: dict = {}
+    distinct = list(dict.fromkeys(pages))
+    kinds: dict = {}
+    for k, p in enumerate(distinct):
+        elements, blocks = html_extract.parse(p)
+        for kind, tokens in ((0, elements), (1, [html_extract._text_token(b) for b in blocks])):
+            for t in tokens:
+                vectors.setdefault(t, [0] * len(distinct))[k] += 1
+                kinds[t] = kind
+    classes: dict = {}
+    for t, v in vectors.items():
+        classes.setdefault(tuple(v), set()).add(t)
+    want = [c for v, c in classes.items() if sum(map(bool, v)) >= max(2, 0.5 * len(distinct)) and {kinds[t] for t in c} == {0, 1}]
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want)) and want
+
+
+def test_quality_on_held_out_labels(spark):
+    """Fitted on two thirds of the labels, judged on the rest."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    part = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(3))
+    out = quality.classify(docs, labels.where(part > 0)).join(labels.where(part == 0), "doc_id")
+    n, good = out.count(), out.where("keep = (quality = 1 AND toxic = 0)").count()
+    assert n > 10 and good >= 0.85 * n

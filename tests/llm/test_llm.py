@@ -404,6 +404,7 @@ def test_near_duplicates(spark, texts):
 @pytest.mark.parametrize("block", [2000, 9])
 def test_near_duplicates_count_all_links(spark, block, monkeypatch):
     monkeypatch.setattr(near_dup, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(near_dup, "BUCKET_TEXTS", block)
     base = [f"w{k}" for k in range(400)]
     df = frame(spark, [" ".join([*base, f"own{k}"]) for k in range(30)] + [" ".join([*base, "own0"]), "far away", None])
     rows = near_dup.near_duplicates(df).orderBy("doc_id").collect()
