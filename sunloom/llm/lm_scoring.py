@@ -1,12 +1,14 @@
 """Stupid-backoff language-model scores from corpus-wide n-gram tables.
 
 The corpus is dealt into chunks by a hash of the row.  Each chunk sends every
-distinct unigram and bigram it holds once, with its count, to the part of the
-count table that owns the n-gram's hash range; that part adds up the counts of
-all chunks and answers each chunk in the order asked.  A chunk then joins its
-exploded n-grams with the answers and sums the scores per document.  Rows of
-one chunk and one table part travel as one packed blob, so a common word pair
-costs one entry per chunk however often it occurs.
+distinct n-gram it holds (of one word up to `order` words) once, with its count,
+to the part of the count table that owns the n-gram's hash range; that part adds
+up the counts of all chunks and answers each chunk in the order asked.  A chunk
+then joins its exploded n-grams with the answers and sums the scores per
+document.  Rows of one chunk and one table part travel as one packed blob
+(sorted hashes as differences, byte by byte, which compress), so a common word
+pair costs one entry per chunk however often it occurs.  There are never more
+blobs than n-grams: a part of which a chunk has nothing gets nothing from it.
 """
 
 from __future__ import annotations
@@ -21,24 +23,29 @@ from pyspark.sql import functions as F
 from . import _text
 from ._spark import partitions, saved
 
-_UNI, _BI = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+_UNI, _NEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
+#: Counts from here on are answered apart from the one-byte ones.
+_BIG = 255
 
 
-def _instances(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Unigram and bigram hash of each word (the row's first word has its unigram twice), and the row of each word."""
+def _instances(column: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """For n = 1 ... order the hash of the n words that end at each word; how many of them are more than one word (n - 1 at most, fewer at a row's start); and the row of each word."""
     raw, offs = _text.utf8(column)
-    uni, bi, row = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    hashes: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order)]
+    depth, row = [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
     for first, last, r, o in _text.blocks(raw, offs):
         _, _, h, wo = _text.words(r, o)
-        u = _text.mix(h ^ _UNI)
-        b = u.copy()
-        b[1:] = _text.mix(h[:-1] * _BI + h[1:])
-        head = wo[:-1][np.diff(wo) > 0]
-        b[head] = u[head]
-        uni.append(u)
-        bi.append(b)
-        row.append(np.repeat(np.arange(first, last), np.diff(wo)))
-    return np.concatenate(uni), np.concatenate(bi), np.concatenate(row)
+        own = np.repeat(np.arange(first, last, dtype=np.int32), np.diff(wo))
+        row.append(own)
+        depth.append(np.minimum(np.arange(len(h)) - wo[own - first], order - 1).astype(np.int8))
+        g = h
+        hashes[0].append(_text.mix(h ^ _UNI))
+        for k in range(1, order):
+            longer = g.copy()
+            longer[1:] = _text.mix(g[:-1] * _NEXT + h[1:] + np.uint64(k - 1))
+            g = longer
+            hashes[k].append(g)
+    return [np.concatenate(x) for x in hashes], np.concatenate(depth), np.concatenate(row)
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -47,80 +54,101 @@ def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x[at], np.diff(np.append(at, len(x)))
 
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted hashes pass from one part's range to the next."""
-    edges = np.array([(k << 64) // parts for k in range(1, parts)], dtype=np.uint64)
-    return np.concatenate(([0], np.searchsorted(keys, edges), [len(keys)]))
+def _cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The parts (equal ranges of hashes) that sorted hashes fall into, and where each one's begin."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    at = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
+    return part[at].astype(np.int32), np.append(at, len(keys))
 
 
-def _asked(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    uni, bi, _ = _instances(column)
-    return _distinct(np.concatenate((uni, bi[bi != uni])))
+def _asked(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    hashes, depth, _ = _instances(column, order)
+    return _distinct(np.concatenate([h if not k else h[depth >= k] for k, h in enumerate(hashes)]))
 
 
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, chunk_mb: float = 6.0) -> DataFrame:
+def _pack(x: np.ndarray) -> bytes:
+    """The bytes of whole numbers, first all lowest bytes, then all next ones."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _unpack(x: bytes | pa.Buffer, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(width, len(x) // width).T).view(kind).ravel()
+
+
+def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", alpha: float = 0.4, min_count: int = 2, chunk_mb: float = 6.0, order: int = 2) -> DataFrame:
     """One row per row of docs: id_col, n_tokens, n_backoff, log_score (natural log, summed), score (log_score per token).
 
-    score of word w after v: c(v w) / c(v) if c(v w) >= min_count, else alpha * c(w) / N; a document's first word has
-    c(w) / N.  Counts are over all documents, the scored one included; min_count 2 makes a pair seen only here back off.
-    Null and empty texts, and those without a word, have n_tokens 0, log_score 0 and a null score.  Repeated rows each
-    count and each get a row; null ids stay null; other columns are ignored.  chunk_mb (of stored input) sets how much
-    text one task holds, and does not change results.
+    The score of a word after its n - 1 predecessors is c(n words) / c(n - 1 predecessors) for the largest n up to
+    `order` (up to its place in the document) whose n words occur min_count times, times alpha for each n left out; for
+    n = 1 it is c(w) / N.  n_backoff counts the words for which an n was left out.  Counts are over all documents, the
+    scored one included; min_count 2 makes words seen only here back off.  Null and empty texts, and those without a
+    word, have n_tokens 0, log_score 0 and a null score.  Repeated rows each count and each get a row; null ids stay
+    null; other columns are ignored; an empty table gives none.  chunk_mb (of stored input) sets how much text one task
+    holds, and does not change results.
     """
     chunks = partitions(docs.select(id_col, text_col), chunk_mb)
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_chunk", F.pmod(F.xxhash64("_text", "_id"), F.lit(chunks)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
-        keys, counts = _asked(t["_text"])
-        cut = _cuts(keys, chunks)
-        parts = [k for k in range(chunks) if cut[k] < cut[k + 1]]
+        keys, counts = _asked(t["_text"], order)
+        parts, cut = _cuts(keys, chunks)
+        ranges = list(zip(cut[:-1], cut[1:], strict=True))
         return pa.table({
             "part": pa.array(parts, pa.int32()), "_chunk": pa.array([t["_chunk"][0].as_py()] * len(parts), pa.int32()),
-            "keys": pa.array([keys[cut[k] : cut[k + 1]].tobytes() for k in parts], pa.binary()),
-            "counts": pa.array([counts[cut[k] : cut[k + 1]].astype(np.uint32).tobytes() for k in parts], pa.binary()),
+            "keys": pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ranges], pa.binary()),
+            "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for a, b in ranges], pa.binary()),
         })
 
     def answer(t: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x.as_buffer(), np.uint64) for x in t["keys"]]
+        keys = [np.cumsum(_unpack(x.as_buffer(), np.uint64), dtype=np.uint64) for x in t["keys"]]
         every = np.concatenate(keys)
-        order = np.argsort(every)
+        by = np.argsort(every)
         new = np.ones(len(every), bool)
-        new[1:] = every[order[1:]] != every[order[:-1]]
+        new[1:] = every[by[1:]] != every[by[:-1]]
         which = np.cumsum(new) - 1
-        counts = np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) for x in t["counts"]])
-        total = np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new))
+        counts = np.concatenate([_unpack(x.as_buffer(), np.uint32) for x in t["counts"]])
+        total = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(new))
         out = np.empty(len(every), np.int64)
-        out[order] = total[which]
-        ends = np.cumsum([len(k) for k in keys])
-        return pa.table({"part": t["part"], "_chunk": t["_chunk"], "totals": pa.array([x.tobytes() for x in np.split(out, ends[:-1])], pa.binary())})
+        out[by] = total[which]
+        pieces = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
+        return pa.table({
+            "part": t["part"], "_chunk": t["_chunk"], "small": pa.array([np.minimum(x, _BIG).astype(np.uint8).tobytes() for x in pieces], pa.binary()),
+            "big": pa.array([_pack(x[x >= _BIG]) for x in pieces], pa.binary()),
+        })
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
         tokens, back, unseen, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        uni, bi, row = _instances(left["_text"]) if n else ([], [], [])
-        if len(uni):
-            keys, _ = _distinct(np.concatenate((uni, bi[bi != uni])))
-            parts = sorted(zip(right["part"].to_pylist(), right["totals"], strict=True), key=lambda x: x[0])
-            total = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for _, x in parts])
+        hashes, depth, row = _instances(left["_text"], order) if n else ([np.zeros(0)], np.zeros(0), np.zeros(0))
+        if len(row):
+            keys, _ = _distinct(np.concatenate([h if not k else h[depth >= k] for k, h in enumerate(hashes)]))
+            parts = sorted(zip(right["part"].to_pylist(), right["small"], right["big"], strict=True), key=lambda x: x[0])
+            total = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for _, x, _ in parts]).astype(np.int64)
             assert len(total) == len(keys), "a part's answer is missing"
-            order = np.argsort(uni)
-            c1 = np.empty(len(uni), np.int64)
-            c1[order] = total[np.searchsorted(keys, uni[order])]
-            order = np.argsort(bi)
-            c2 = np.empty(len(bi), np.int64)
-            c2[order] = total[np.searchsorted(keys, bi[order])]
-            head = np.ones(len(row), bool)
-            head[1:] = row[1:] != row[:-1]
-            seen = ~head & (c2 >= min_count)
-            before = np.roll(c1, 1)
-            term = np.where(seen, np.log(c2) - np.log(before), np.log(c1) + np.where(head, 0.0, math.log(alpha)))
-            tokens, back = np.bincount(row, minlength=n), np.bincount(row, weights=~seen & ~head, minlength=n).astype(np.int64)
-            unseen, logs = np.bincount(row, weights=~seen, minlength=n).astype(np.int64), np.bincount(row, weights=term, minlength=n)
+            total[total == _BIG] = np.concatenate([_unpack(x.as_buffer(), np.int64) for _, _, x in parts])
+            counts = []
+            for k, h in enumerate(hashes):
+                some = np.flatnonzero(depth >= k)
+                some = some[np.argsort(h[some])]
+                c = np.zeros(len(h), np.int64)
+                c[some] = total[np.searchsorted(keys, h[some])]
+                hashes[k] = None
+                counts.append(c)
+            used = np.zeros(len(row), np.int8)
+            term = np.log(counts[0])
+            for k in range(1, order):
+                ok = np.flatnonzero((depth >= k) & (counts[k] >= min_count))
+                used[ok] = k
+                term[ok] = np.log(counts[k][ok]) - np.log(counts[k - 1][ok - 1])
+            term += (depth - used) * math.log(alpha)
+            tokens, back = np.bincount(row, minlength=n), np.bincount(row, weights=used < depth, minlength=n).astype(np.int64)
+            unseen, logs = np.bincount(row, weights=used == 0, minlength=n).astype(np.int64), np.bincount(row, weights=term, minlength=n)
         return pa.table({"_id": left["_id"], "n_tokens": pa.array(tokens, pa.int64()), "n_backoff": pa.array(back, pa.int64()), "unseen": pa.array(unseen, pa.int64()), "logs": pa.array(logs, pa.float64())})
 
     asked = dealt.select("_chunk", "_id", "_text").groupBy("_chunk").applyInArrow(ask, "part int, _chunk int, keys binary, counts binary")
-    told = asked.groupBy("part").applyInArrow(answer, "part int, _chunk int, totals binary")
+    told = asked.groupBy("part").applyInArrow(answer, "part int, _chunk int, small binary, big binary")
     summed = dealt.select("_chunk", "_id", "_text").groupBy("_chunk").cogroup(told.groupBy("_chunk")).applyInArrow(score, f"_id {id_type}, n_tokens long, n_backoff long, unseen long, logs double")
     summed = saved(summed)
     n = summed.agg(F.sum("n_tokens")).first()[0] or 1
