@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import components, partitions, saved
+from ._spark import components, loose, partitions, saved
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 4
@@ -34,6 +34,8 @@ K = BANDS * ROWS
 LEAST_AGREEMENT = 0.62
 #: Texts that one task verifies together.
 BLOCK_TEXTS = 2000
+#: Texts of one bucket that one task compares; larger buckets are compared block by block.
+BUCKET_TEXTS = 4000
 _HEIGHT, _RANK, _SLOT, _COPY = (np.uint64(x) for x in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
@@ -129,7 +131,7 @@ def _digits(sig: np.ndarray) -> np.ndarray:
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, text) -> a row per band: (bucket, key, four bits of each coordinate); none for a text without words."""
+    """(key, text) -> (key, bucket of each band, four bits of each coordinate); none for a text without words."""
     for b in _once(batches):
         raw, offs = _text.utf8(b.column(1))
         for first, _, r, o in _text.blocks(raw, offs):
@@ -143,9 +145,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k in range(ROWS):
                 bucket = _text.mix(bucket * _COPY + bands[:, :, k])
             bucket = _text.mix(bucket + np.arange(BANDS, dtype=np.uint64))
-            keys = b.column(0).take(pa.array(np.repeat(first + some, BANDS)))
-            sigs = pa.array([x.tobytes() for x in packed], pa.binary()).take(pa.array(np.repeat(np.arange(len(some)), BANDS)))
-            yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel().view(np.int64)), keys, sigs], names=["bucket", "key", "sig"])
+            buckets = pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), pa.array(bucket.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(first + some)), buckets, pa.array([x.tobytes() for x in packed], pa.binary())], names=["key", "buckets", "sig"])
 
 
 def _links(sig: np.ndarray, left: range, right: range, similar: Callable[[int, np.ndarray], np.ndarray] | None = None, number: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -201,6 +202,24 @@ def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
+def _compare(t: pa.Table) -> pa.Table:
+    """The rows (side, key, sig) of one block of a large bucket, or of two -> links between agreeing texts, a forest."""
+    side = np.array(t["side"].to_pylist())
+    t, side = t.take(pa.array(np.argsort(side, kind="stable"))), np.sort(side)
+    n0 = int((side == 0).sum())
+    left, right = range(n0), range(n0, len(side)) if n0 < len(side) else range(n0)
+    keys, packed = t["key"].to_pylist(), np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint8).reshape(len(side), K // 2)
+    found = _links(np.hstack((packed & 15, packed >> 4)), left, right)
+    return pa.table({"a": pa.array([keys[x] for x, _ in found], pa.binary()), "b": pa.array([keys[y] for _, y in found], pa.binary())})
+
+
+def _paired(rows: DataFrame, blocks: Column, *carry: str) -> DataFrame:
+    """rows (key, carry) dealt to the pairs i <= j of so many blocks: adds i, j and side (0: of block i); a row goes to each pair that its block is in."""
+    rows = rows.withColumn("blocks", blocks.cast("int")).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    rows = rows.select("key", *carry, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return rows.select("key", *carry, F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+
+
 def _verify(t: pa.Table) -> pa.Table:
     """The texts of one group, or of two blocks of it -> verified links: a forest (a, b), and each text's number (a, null, n)."""
     side = np.array(t["side"].to_pylist())
@@ -255,14 +274,20 @@ def text_links(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     source = docs.select(F.col(text_col).cast("string").alias("text")).withColumn("key", text_key("text")).where("key IS NOT NULL").select("key", "text")
     parts = max(partitions(source, 16.0), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    near = source.mapInArrow(_sign, "bucket long, key binary, sig binary").repartition(parts, "bucket").mapInArrow(_candidates, "a binary, b binary")
+    # Signed once; copies are one row.
+    signed = saved(source.mapInArrow(_sign, "key binary, buckets array<long>, sig binary").dropDuplicates(["key"]))
+    rows = signed.select(F.explode("buckets").alias("bucket"), "key", "sig")
+    large = saved(rows.groupBy("bucket").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_TEXTS))
+    pair = "a binary, b binary"
+    if large.isEmpty():
+        near = rows.repartition(parts, "bucket").mapInArrow(_candidates, pair)
+    else:
+        near = rows.join(loose(large, "bucket"), "bucket", "left_anti").repartition(parts, "bucket").mapInArrow(_candidates, pair)
+        split = _paired(rows.join(loose(large, "bucket"), "bucket"), F.ceil(F.col("n") / F.lit(BUCKET_TEXTS)), "bucket", "sig")
+        near = near.unionByName(split.groupBy("bucket", "i", "j").applyInArrow(_compare, pair))
     groups = saved(components(near).withColumnsRenamed({"node": "key", "root": "grp"}))
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / F.lit(BLOCK_TEXTS)).cast("int")
-    dealt = groups.join(sizes, "grp").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
-    # Pairs of blocks i <= j; a text goes to each pair that its block is in.
-    dealt = dealt.select("key", "grp", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("key", "grp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), F.when(F.col("block") <= F.col("other"), 0).otherwise(1).alias("side"))
+    dealt = _paired(groups.join(loose(sizes, "grp"), "grp"), F.ceil(F.col("n") / F.lit(BLOCK_TEXTS)), "grp")
     texts = source.mapInArrow(_once, "key binary, text string").join(groups.select("key"), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     return dealt.join(texts, "key").select("grp", "i", "j", "side", "key", "text").groupBy("grp", "i", "j").applyInArrow(_verify, "a binary, b binary, n long")
 

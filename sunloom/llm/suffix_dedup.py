@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text
-from ._spark import partitions, saved
+from ._spark import loose, partitions, saved
 from .suffix_sort import suffix_arrays
 
 #: Bytes of a string that may not occur twice.
@@ -68,11 +68,6 @@ def gram_of(window: int) -> int:
     return window * 8 // 25
 
 
-def _loose(df: DataFrame, key: str = "hash") -> DataFrame:
-    """df, whose key the planner takes for a new one: a join on it exchanges these rows, and can split a hot key."""
-    return df.withColumn(key, F.col(key).bitwiseXOR(F.lit(0).cast("long")))
-
-
 def _smallest(x: np.ndarray, w: int) -> np.ndarray:
     """Minimum of x[i : i + w] for every i with a full window."""
     n = len(x)
@@ -159,7 +154,7 @@ def shared_passages(docs: DataFrame, text_col: str = "text") -> DataFrame:
     source = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kind = "hash long, key binary"
     often = source.mapInArrow(lambda it: _passages(it, False), kind).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    met = source.mapInArrow(lambda it: _passages(it, True), kind).join(_loose(often), "hash", "left_semi")
+    met = source.mapInArrow(lambda it: _passages(it, True), kind).join(loose(often, "hash"), "hash", "left_semi")
     return met.distinct().groupBy("key").agg(F.count("*").alias("n"))
 
 
@@ -343,12 +338,12 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     parts = max(partitions(source, 24.0), int(spark.conf.get("spark.sql.shuffle.partitions")))
     # Hashes that occur once are most; they are found by counting, which is partly done before the shuffle.
     often = found.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash")
-    many = _loose(saved(found.join(_loose(often), "hash", "left_semi")))
+    many = loose(saved(found.join(loose(often, "hash"), "hash", "left_semi")), "hash")
     place = F.struct("key", "pos")
     contexts = many.groupBy("hash", "context").agg(F.min(F.struct("key", "pos", "low", "size")).alias("one"), F.max(place).alias("last"))
     contexts = contexts.select("hash", "context", "one.*", ((F.col("one.key") != F.col("last.key")) | (F.col("one.pos") != F.col("last.pos"))).alias("multi"))
     counted = contexts.groupBy("hash").agg(F.count("*").alias("c"))
-    contexts = saved(_loose(contexts).join(_loose(counted), "hash").where("c > 1 OR multi"))
+    contexts = saved(loose(contexts, "hash").join(loose(counted, "hash"), "hash").where("c > 1 OR multi"))
     spans = [contexts.where("c = 1").select("hash", "context", F.array(F.col("low").cast("long"), (F.col("low") + F.col("size")).cast("long")).alias("spans"))]
     # The different contexts of a hash get their bytes from the texts.
     texts = source.mapInArrow(_once, "key binary, text string")
@@ -384,7 +379,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     every = spans[0]
     for x in spans[1:]:
         every = every.unionByName(x)
-    flat = many.select("hash", "context", "key", "pos").join(_loose(every), ["hash", "context"])
+    flat = many.select("hash", "context", "key", "pos").join(loose(every, "hash"), ["hash", "context"])
     pair = F.explode(F.sequence(F.lit(0), F.size("spans") - 2, F.lit(2)))
     return flat.where(F.size("spans") > 0).select("key", "pos", "spans", pair.alias("k")).select("key", (F.col("pos") + F.get("spans", F.col("k"))).alias("begin"), (F.col("pos") + F.get("spans", F.col("k") + 1)).alias("end"))
 
