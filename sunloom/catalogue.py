@@ -222,7 +222,8 @@ def unpivot_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH u AS ({UNPIVOTED}), c(channel, pos, m, s, lo, hi) AS (VALUES ('l_extendedprice', 0, 30000.0::DOUBLE, 20000.0::DOUBLE, 1000.0::DOUBLE, 60000.0::DOUBLE), ('l_quantity', 1, 25.0, 14.0, 2.0, 45.0))
     SELECT l_orderkey, l_linenumber, u.channel, pos AS channel_pos, round((least(greatest(value, lo), hi) - m) / s, 8) + 0.0 AS value FROM u JOIN c ON u.channel = c.channel""")
 def channel_select_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chosen = grid.select_channels(grid.unpivot_channels(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], MEASURES), ["l_extendedprice", "l_quantity"])
+    names = ["l_extendedprice", "l_quantity"]  # only these columns are read and made rows of
+    chosen = grid.select_channels(grid.unpivot_channels(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], names), names)
     constants = spark.createDataFrame([("l_extendedprice", 30000.0, 20000.0, 1000.0, 60000.0), ("l_quantity", 25.0, 14.0, 2.0, 45.0)], "channel string, mean double, std double, lo double, hi double")
     return features.normalise(chosen, constants).withColumn("value", F.round("value", 8))
 
@@ -354,13 +355,6 @@ def collate_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_orderkey", F.concat_ws(",", F.col("l_linenumber").cast("array<string>")).alias("steps"), F.concat_ws(",", F.col("q").cast("array<string>")).alias("quantities"), F.size("q").cast("long").alias("n"))
 
 
-@query(None)
-def project_osgb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = geo.lon_lat_to_osgb(F.col("lon"), F.col("lat"))
-    back = geo.osgb_to_lon_lat(F.col("x"), F.col("y"))
-    return points(spark, sf_dir).withColumn("x", x).withColumn("y", y).select("s_suppkey", F.round("x", 2).alias("x_osgb"), F.round("y", 2).alias("y_osgb"), F.round(back[0], 6).alias("lon"), F.round(back[1], 6).alias("lat"))
-
-
 GEOS = """WITH {0}, a AS (SELECT s_suppkey, radians(lon - 9.5) AS dl, atan({1} * tan(radians(lat))) AS p FROM l), b AS (SELECT s_suppkey, dl, p, sqrt({1}) / sqrt({1} * cos(p) * cos(p) + sin(p) * sin(p)) AS r FROM a),
     c AS (SELECT s_suppkey, r * cos(dl) * cos(p) AS vx, r * sin(dl) * cos(p) AS vy, r * sin(p) AS vz FROM b) SELECT s_suppkey, round(35785831.0::DOUBLE * atan(vy / (1 + 35785831.0::DOUBLE / 6378169.0 - vx)), 1) + 0.0 AS x_geo, round(35785831.0::DOUBLE * atan(vz / sqrt(vy * vy + (1 + 35785831.0::DOUBLE / 6378169.0 - vx) ** 2)), 1) + 0.0 AS y_geo FROM c"""
 _RP2 = 1 - (1 / 295.488065897014) * (2 - 1 / 295.488065897014)
@@ -372,13 +366,6 @@ def project_geos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return points(spark, sf_dir).select("s_suppkey", F.round(x, 1).alias("x_geo"), F.round(y, 1).alias("y_geo"))
 
 
-@query(None)
-def solar_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    azimuth, elevation = geo.solar_normalised(F.col("ts"), F.col("lon"), F.col("lat"))
-    every = points(spark, sf_dir).withColumn("ts", F.explode(F.array(*(F.lit(datetime(2024, 6, 20, h)).cast("timestamp_ntz") for h in range(24)))))
-    return every.select("s_suppkey", seconds("ts").alias("t_s"), F.round(azimuth, 6).alias("solar_azimuth"), F.round(elevation, 6).alias("solar_elevation"))
-
-
 @query(f"""{SLICED}, c AS (SELECT k, max(value) AS cap FROM h GROUP BY k) SELECT s.k AS event_type, epoch(t0)::BIGINT AS t0_s, (epoch(ts - t0) / 3600)::INTEGER AS step, round(CASE WHEN ts > t0 - INTERVAL 1 hour AND ts <= t0 THEN 0.0 ELSE value / cap END, 6) + 0.0 AS generation,
     round(sin({DATE}), 6) + 0.0 AS date_sin, round(cos({TIME}), 6) + 0.0 AS time_cos, round((hour(t0) + minute(t0) / 60.0::DOUBLE) / 24, 6) AS t0_frac FROM s JOIN c ON s.k = c.k""")
 def flagship_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -390,3 +377,7 @@ def flagship_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = features.calendar(F.col("ts"))
     step = ((periods.micros("ts") - periods.micros("t0")) / F.lit(3_600_000_000)).cast("int")
     return out.select("event_type", seconds("t0").alias("t0_s"), step.alias("step"), F.round(ratio, 6).alias("generation"), F.round(c["date_sin"], 6).alias("date_sin"), F.round(c["time_cos"], 6).alias("time_cos"), F.round(features.t0_fraction(F.col("t0"), "24h"), 6).alias("t0_frac"))
+
+
+# (At the end: these queries are registered here too.)
+from sunloom import sample_queries  # noqa: E402, F401

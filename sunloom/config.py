@@ -167,12 +167,16 @@ def from_dict(raw: dict) -> Configuration:
     return build(Configuration, raw)
 
 
-def load(path: str) -> Configuration:
-    """From YAML, with ${NAME} of the environment filled in."""
+def load(path: str, spark=None) -> Configuration:
+    """From YAML, with ${NAME} of the environment filled in; with a session from any file system that Spark reads."""
     import yaml
 
-    with open(path) as f:
-        return from_dict(yaml.safe_load(os.path.expandvars(f.read())))
+    if spark is not None:
+        text = spark.read.text(path, wholetext=True).first()[0]
+    else:
+        with open(path) as f:
+            text = f.read()
+    return from_dict(yaml.safe_load(os.path.expandvars(text)))
 
 
 def save(config: Configuration, path: str) -> None:

@@ -165,6 +165,38 @@ def convert(x: Column, y: Column, source: str, target: str, area: str | None = N
             raise NotImplementedError(f"no conversion from {source} to {target}")
 
 
+@dataclass
+class Location:
+    """A place with its coordinates in one or more systems."""
+
+    id: int
+    coords: dict[str, tuple[float, float]]
+
+    SYSTEMS = ("lon_lat", "osgb", "geostationary")
+
+    def __post_init__(self):
+        for system in self.coords:
+            self._known(system)
+
+    def _known(self, system: str) -> None:
+        if system not in self.SYSTEMS:
+            raise ValueError(f"unknown coordinate system {system!r}")
+
+    def in_coord_system(self, system: str) -> tuple[float, float]:
+        """(x, y) in a system that was added."""
+        self._known(system)
+        if system not in self.coords:
+            raise ValueError(f"location {self.id} has no coordinates in {system}")
+        return self.coords[system]
+
+    def add_coord_system(self, x: float, y: float, system: str) -> None:
+        """Adds coordinates; other ones for a system that is there already are an error."""
+        self._known(system)
+        if self.coords.get(system, (x, y)) != (x, y):
+            raise ValueError(f"location {self.id} has other coordinates in {system}")
+        self.coords[system] = (x, y)
+
+
 def find_coord_system(names: list[str]) -> str:
     """The one coordinate system whose axes are among the names."""
     pairs = {"lon_lat": ("longitude", "latitude"), "geostationary": ("x_geostationary", "y_geostationary"), "osgb": ("x_osgb", "y_osgb")}

@@ -118,10 +118,11 @@ class SampleEngine:
     def _cells(self, name: str, spec: Gridded, wanted: DataFrame) -> DataFrame:
         """The cells in each location's window at the times (rows) of wanted: adds location_id and the place in the window (wx, wy)."""
         table, width, height = self.tables[name], spec.crop.image_size_pixels_width, spec.crop.image_size_pixels_height
-        x_axis = grid.axis_index(table.select(F.col("x").alias("coord")))
-        y_axis = grid.axis_index(table.select(F.col("y").alias("coord")))
+        # An axis has as many rows as the grid has pixels along a side; it is read once and used four times.
+        x_axis = grid.axis_index(table.select(F.col("x").alias("coord"))).persist()
+        y_axis = grid.axis_index(table.select(F.col("y").alias("coord"))).persist()
         n_x, n_y = x_axis.count(), y_axis.count()
-        at = grid.nearest_index(grid.nearest_index(self._points(name), x_axis, "px", "cx"), y_axis, "py", "cy")
+        at = grid.nearest_index(grid.nearest_index(self._points(name), x_axis, "px", "cx"), y_axis, "py", "cy").persist()  # a row per location
         axes = x_axis.select(F.col("coord").alias("x"), F.col("idx").alias("x_idx")), y_axis.select(F.col("coord").alias("y"), F.col("idx").alias("y_idx"))
         cells = table.join(wanted.distinct(), wanted.columns, "left_semi").join(F.broadcast(axes[0]), "x").join(F.broadcast(axes[1]), "y")
         low_x, high_x, low_y, high_y = grid.extent(at, width, height)
@@ -143,7 +144,7 @@ class SampleEngine:
             if len(dims) == 1:
                 return F.slice(flat, base * inner + 1, inner)
             rest = dims[1:]
-            return F.transform(F.sequence(F.lit(0), F.lit(dims[0] - 1)), lambda k: level(rest, base * rest[0] + k) if len(rest) > 1 else F.slice(flat, (base + k) * inner + 1, inner))
+            return F.transform(F.sequence(F.lit(0), F.lit(dims[0] - 1)), lambda k: level(rest, base * dims[0] + k) if len(rest) > 1 else F.slice(flat, (base * dims[0] + k) * inner + 1, inner))
 
         return level(shape, F.lit(0))
 
@@ -163,9 +164,11 @@ class SampleEngine:
         frames = F.array_sort(F.collect_set(F.struct(time, *more)))
         out = sliced.groupBy("location_id", "t0").agg(F.array_sort(F.collect_list(F.struct(place.alias("place"), value.alias("value")))).alias("_r"), frames.alias("_f"))
         every, fill = F.sequence(F.lit(0), F.lit(steps * channels * width * height - 1)), F.lit(spec.dropout.dropout_value).cast("float")
-        known = F.map_from_entries("_r")
-        flat = F.when(F.col("_r.place") == every, F.col("_r.value")).otherwise(F.transform(every, lambda k: F.coalesce(F.try_element_at(known, k), fill)))
-        return out.select("location_id", "t0", flat.alias("_flat"), "_f").withColumn(prefix, self._nested(F.col("_flat"), shape)).drop("_flat")
+        # (Each value that a lambda uses many times is bound once, as the only element of an array.)
+        once = lambda value, f: F.get(F.transform(F.array(value), f), 0)
+        filled = once(F.map_from_entries("_r"), lambda known: F.transform(every, lambda k: F.coalesce(F.try_element_at(known, k), fill)))
+        flat = F.when(F.col("_r.place") == every, F.col("_r.value")).otherwise(filled)
+        return out.select("location_id", "t0", once(flat, lambda x: self._nested(x, shape)).alias(prefix), "_f")
 
     def generation_windows(self, index: DataFrame, concurrent: bool = False) -> DataFrame:
         g = self.config.generation
@@ -213,7 +216,8 @@ class SampleEngine:
 
     def samples(self, index: DataFrame | None = None, concurrent: bool = False) -> DataFrame:
         """One row per (location_id, t0) of the index with all features as arrays; concurrent: one dropout draw per t0."""
-        index = self.index() if index is None else index.select("location_id", "t0")
+        # Every modality joins the index: two columns a sample, kept so that it is made once.
+        index = (self.index() if index is None else index.select("location_id", "t0")).persist()
         parts = [self.generation_windows(index, concurrent)]
         if self.config.satellite:
             parts.append(self.satellite_windows(index, concurrent))

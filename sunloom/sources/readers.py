@@ -35,8 +35,14 @@ def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
     return df.withColumnsRenamed({k: v for k, v in names.items() if k in df.columns and v not in df.columns})
 
 
-def read_parts(spark: SparkSession, paths: str | Sequence[str], public: bool = False) -> DataFrame:
-    """One table of all paths (concatenated by column name)."""
+def read_parts(spark: SparkSession, paths: str | Sequence[str], public: bool = False, same: Sequence[str] = ()) -> DataFrame:
+    """One table of all paths: Parquet (concatenated by column name), or Zarr stores where all paths end in `.zarr` (same: see zarr.open_stores)."""
+    if all(p.rstrip("/").endswith(".zarr") for p in ([paths] if isinstance(paths, str) else paths)):
+        from . import zarr
+
+        if public:
+            raise ValueError("public stores are read as Parquet only")
+        return zarr.open_stores(spark, paths, same=same)
     # For this read alone: other sources of the session keep their own credentials.
     options = {"fs.s3a.aws.credentials.provider": "org.apache.hadoop.fs.s3a.AnonymousAWSCredentialsProvider"} if public else {}
     return spark.read.options(**options).parquet(*([paths] if isinstance(paths, str) else paths))
@@ -95,12 +101,20 @@ def open_generation(spark: SparkSession, path: str | Sequence[str], public: bool
 
 def open_satellite(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     names = {"time": "time_utc", "variable": "channel", "x_geostationary": "x", "y_geostationary": "y"}
-    df = renamed(read_parts(spark, path), names)
+    df = renamed(read_parts(spark, path, same=["x_geostationary", "y_geostationary"]), names)
     if missing := [c for c in ("time_utc", "channel", "x", "y") if c not in df.columns]:
         raise KeyError(f"satellite: columns {missing} are missing")
     return validate(single_value(df, ["time_utc", "channel", "x", "y"]), SATELLITE, "satellite")
 
 
+def satellite_area(spark: SparkSession, path: str | Sequence[str], variable: str = "data") -> str | None:
+    """The description of the geostationary view that Zarr satellite stores carry, of the first store; None without one."""
+    from . import zarr
+
+    area = zarr.Array(spark, f"{zarr.expand(spark, path)[0].rstrip('/')}/{variable}").attrs.get("area")
+    return area if area is None or isinstance(area, str) else str(area)
+
+
 _DIMS = ["init_time_utc", "step", "channel", "x", "y"]
 
 

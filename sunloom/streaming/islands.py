@@ -15,5 +15,7 @@ def contiguous_periods(stream: DataFrame, resolution: int, min_length: int, keys
     """
     times = stream.withColumn("_at", F.col(ts).cast("timestamp"))
     times = times.withWatermark("_at", late) if stream.isStreaming else times
-    sessions = times.groupBy(*keys, F.session_window("_at", f"{resolution} minutes").alias("_w")).agg(F.min("_at").alias("start_dt"), F.max("_at").alias("end_dt"), F.size(F.collect_set("_at")).alias("_n"))
+    # A repeated time counts once; what the watermark has passed is forgotten, so a session keeps three numbers only.
+    times = times.dropDuplicates([*keys, "_at"])
+    sessions = times.groupBy(*keys, F.session_window("_at", f"{resolution} minutes").alias("_w")).agg(F.min("_at").alias("start_dt"), F.max("_at").alias("end_dt"), F.count("*").alias("_n"))
     return sessions.where(F.col("_n") > min_length).select(*keys, F.col("start_dt").cast("timestamp_ntz").alias("start_dt"), F.col("end_dt").cast("timestamp_ntz").alias("end_dt"))

@@ -172,3 +172,73 @@ def test_sources(spark, tmp_path):
         grid.select_channels(out, ["t", "missing"]).collect()
     with pytest.raises(ValueError):
         readers.check_unique(out.union(out), ["channel"])
+
+
+def test_location_store():
+    place = geo.Location(3, {"lon_lat": (-1.0, 52.0)})
+    place.add_coord_system(4.0, 5.0, "osgb")
+    place.add_coord_system(4.0, 5.0, "osgb")
+    assert place.in_coord_system("osgb") == (4.0, 5.0)
+    for bad in (lambda: place.add_coord_system(4.0, 6.0, "osgb"), lambda: place.in_coord_system("geostationary"), lambda: place.in_coord_system("mars"), lambda: geo.Location(1, {"mars": (0, 0)})):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_missing_pixels_are_filled_in_place(spark, tables):
+    sat = tables["sat"].where(~((F.col("x") == -1.0) & (F.col("y") == 52.0) & (F.col("value") == 140.0)))
+    whole = SampleEngine(configuration(), tables).sample(datetime(2023, 1, 1, 12), 2).first()["satellite_actual"]
+    lacking = SampleEngine(configuration(), {**tables, "sat": sat}).sample(datetime(2023, 1, 1, 12), 2).first()["satellite_actual"]
+    differ = [(t, c, x, y) for t in range(7) for c in range(1) for x in range(2) for y in range(2) if whole[t][c][x][y] != lacking[t][c][x][y]]
+    assert len(differ) == 1 and lacking[differ[0][0]][0][differ[0][2]][differ[0][3]] == 0.0
+    twice = sat.union(sat.where((F.col("value") == 141.0)))
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        SampleEngine(configuration(), {**tables, "sat": twice}).sample(datetime(2023, 1, 1, 12), 2).collect()
+
+
+def test_complete_looks_at_times(spark, tables):
+    gen = tables["generation"]
+    other = gen.where("NOT (location_id = 1 AND time_utc = '2023-01-01 00:00:00') AND NOT (location_id = 2 AND time_utc = '2023-01-01 00:30:00')")
+    assert SampleEngine(configuration(), tables).complete()
+    assert not SampleEngine(configuration(), {**tables, "generation": other}).complete()
+
+
+def test_items_by_number(spark, tables, tmp_path):
+    from sunloom.plans.sampler import ConcurrentEngine
+
+    engine = SampleEngine(configuration(), tables).save_index(str(tmp_path / "index"))
+    assert len(engine) == 78
+    first, last = engine[0].first(), engine[77].first()
+    assert (first["location_id"], first["t0"]) == (1, datetime(2023, 1, 1, 3)) and (last["location_id"], last["t0"]) == (2, datetime(2023, 1, 1, 22))
+    assert engine.checked(engine[40]).first()["location_id"] == 2
+    with pytest.raises(ValueError):
+        engine[78]
+    batches = ConcurrentEngine(configuration(), tables).with_index(str(tmp_path / "index"))
+    assert len(batches) == 39
+    assert batches[1].first()["t0"] == datetime(2023, 1, 1, 3, 30) and len(batches.get_sample(datetime(2023, 1, 1, 12)).first()["samples"]) == 2
+    for bad in (lambda: batches[39], lambda: batches.get_sample(datetime(2023, 1, 1, 0))):
+        with pytest.raises(ValueError):
+            bad()
+    short = engine.samples(engine.index().limit(1)).withColumn("generation", F.slice("generation", 1, 3))
+    with pytest.raises(Exception, match="generation has the shape"):
+        engine.checked(short).collect()
+
+
+def test_monotonic_and_remote_configuration(spark, tmp_path):
+    rows = spark.createDataFrame([(k, float(x)) for k, x in enumerate((5, 4, 2, 1))], "idx int, coord double")
+    assert grid.check_increasing(rows, "idx", "coord").count() == 4
+    with pytest.raises(Exception, match="not monotonic"):
+        grid.check_increasing(rows.union(spark.createDataFrame([(9, 3.0)], rows.schema)), "idx", "coord").collect()
+    path = str(tmp_path / "c.yaml")
+    C.save(configuration(), path)
+    assert C.load(f"file://{path}", spark) == configuration()
+
+
+def test_legacy_tables(spark, tmp_path):
+    from sunloom.sources import legacy
+
+    values = spark.createDataFrame([(1, DAY, 1000.0, 2000.0), (2, DAY, 500.0, 1000.0), (1, DAY + timedelta(hours=1), 7.0, 2000.0), (2, DAY + timedelta(hours=1), None, 1000.0)], "location_id int, time_utc timestamp_ntz, generation_kw double, capacity_kwp double")
+    names = spark.createDataFrame([(1, "a", -1.0), (1, "b", -2.0)], "location_id int, name string, longitude double")
+    out = legacy.reformat_generation(values, names)
+    assert sorted((r["location_id"], r["generation_mw"], r["capacity_mwp"], r["name"]) for r in out.collect()) == [(1, 1.0, 2.0, "a"), (2, 0.5, 1.0, None)]
+    legacy.write_csv(out, str(tmp_path / "csv"), ["location_id", "capacity_mwp"])
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()] == [("1", "2.0"), ("2", "1.0")]
