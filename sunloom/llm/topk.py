@@ -1,34 +1,45 @@
 """Exact top-k inner-product search with dual cover trees.
 
-Queries and vectors are dealt into blocks; each pair of blocks is one task, which
-builds a cover tree over either side and descends both together.  A pair of nodes
-is pruned when even the best inner product that their covering radii allow is
-below the worst k-th score of the query node's queries.  The k best of each pair
-of blocks are merged per query.
+Vectors are dealt into blocks of neighbours (by the nearest of a few pivots, large
+cells by a hash as well), queries likewise, and a cover tree is built once over
+each block.  The trees' roots are the upper level: each block of queries first
+meets the block of vectors with the best bound, and of the others only those that
+its worst k-th score so far does not rule out.  Inside a pair of blocks both trees
+are descended together; a pair of nodes is pruned when even the best inner
+product that their covering radii allow is below the worst k-th score of the
+query node's queries.  The k best of all pairs are merged per query.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 K, SCALE = 5, 256.0
 QUERY_BLOCK, VECTOR_BLOCK = 4096, 8192
+#: Vectors of a bounded sample whose neighbours make up the blocks' cells.
+PIVOTS = 64
 _LEAF, _SHRINK = 96, 0.7
 _LONG = (1 << 63) - 1
+#: Bits of a packed score that hold the place of its vector in a block.
+_PLACE = 20
 
 
 class Node:
-    __slots__ = ("at", "center", "children", "norm", "points", "radius")
+    __slots__ = ("center", "children", "norm", "points", "radius")
 
     def __init__(self, points: np.ndarray, x: np.ndarray, depth: int = 0):
         self.points, self.children = points, []
-        self.center = x[points[0]]
+        self.center = x[points[0]].copy()
         far = np.sqrt(((x[points] - self.center) ** 2).sum(1))
         self.radius, self.norm = float(far.max()), float(np.sqrt((self.center**2).sum()))
         if len(points) <= _LEAF or self.radius == 0 or depth > 60:
@@ -58,54 +69,117 @@ class Node:
             self.children += [Node(left[k : k + 8 * _LEAF], x, 61) for k in range(0, len(left), 8 * _LEAF)]
 
 
-def dual_search(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """(scores, vector places), one row per query, best first, places -1 where there are fewer than k.
+class Block:
+    """Vectors of whole numbers (as doubles) in the order of their ids, and their tree."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
+        by = np.argsort(ids, kind="stable")
+        self.ids, self.x = ids[by], x[by]
+        self.root = Node(np.arange(len(ids)), self.x)
+
 
-    q, v: integer-valued; v_id ascending, so that ties go to the smaller place.  Vectors with the query's id don't count.
+def dual_search(a: Block, b: Block, k: int, least: float | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(scores, places in b), one row per query of a, best first, places -1 where there are fewer than k.
+
+    Ties go to the smaller place.  Vectors with the query's id don't count.  least: every query has k scores of at least
+    this elsewhere, so smaller ones need not be found.  Sums too large for exact floating point are added up as Python's
+    whole numbers, by the same descent.
     """
-    n = len(v)
-    top = np.abs(q).max(initial=0.0) * np.abs(v).max(initial=0.0) * q.shape[1]
-    exact = np.float32 if top < 1 << 24 else np.float64
-    qx, vx = q.astype(exact), v.astype(exact)
+    top = np.abs(a.x).max(initial=0.0) * np.abs(b.x).max(initial=0.0) * a.x.shape[1]
+    wide = top >= 1 << 42
+    exact = object if wide else np.float32 if top < 1 << 24 else np.float64
+    whole = (lambda x: np.array([[int(c) for c in row] for row in x], object).reshape(x.shape)) if wide else lambda x: x.astype(exact)
+    qx, vx = whole(a.x), whole(b.x)
     # One number orders by score, then by place.
-    low = np.int64(-(1 << 62))
-    best = np.full((len(q), k), low, np.int64)
-    q_root, v_root = Node(np.arange(len(q)), q), Node(np.arange(n), v)
+    low = -(1 << 2200) if wide else np.int64(-(1 << 62))
+    best = np.full((len(qx), k), low, object if wide else np.int64)
+    mask = (1 << _PLACE) - 1
+    assert len(vx) <= mask
+    floor = None if least is None else int(least)
 
-    def bound(a: Node, b: Node) -> float:
-        return float(a.center @ b.center) + a.norm * b.radius + b.norm * a.radius + a.radius * b.radius
+    def bound(m: Node, n: Node) -> float:
+        return float(m.center @ n.center) + m.norm * n.radius + n.norm * m.radius + m.radius * n.radius
 
-    heap, tick = [(-bound(q_root, v_root), 0, q_root, v_root)], 0
+    heap, tick = [(-bound(a.root, b.root), 0, a.root, b.root)], 0
     while heap:
-        up, _, a, b = heapq.heappop(heap)
-        worst = best[a.points, k - 1].min()
+        up, _, m, n = heapq.heappop(heap)
+        worst = best[m.points, k - 1].min()
+        worst = worst >> _PLACE if worst > low else None
+        worst = worst if floor is None else floor if worst is None else max(worst, floor)
         # (The slack is for rounding; it raises a bound of either sign, so a pair that can only tie is looked at too.)
-        if worst > low and math.floor(-up + 1e-9 * abs(up) + 1e-6) < worst >> 20:
+        if worst is not None and -up + 1e-9 * abs(up) + 1e-6 < worst:
             continue
-        if a.children or b.children:
-            for x in (a.children if a.children and (a.radius >= b.radius or not b.children) else [a]):
-                for y in (b.children if b.children and (b.radius > a.radius or not a.children) else [b]):
+        if m.children or n.children:
+            for x in (m.children if m.children and (m.radius >= n.radius or not n.children) else [m]):
+                for y in (n.children if n.children and (n.radius > m.radius or not m.children) else [n]):
                     tick += 1
                     heapq.heappush(heap, (-bound(x, y), tick, x, y))
             continue
-        score = (qx[a.points] @ vx[b.points].T).astype(np.int64)
-        key = (score << 20) | ((1 << 20) - 1 - b.points)[None, :]
-        key[q_id[a.points][:, None] == v_id[b.points][None, :]] = low
-        if key.shape[1] > k:
+        score = qx[m.points] @ vx[n.points].T
+        key = ((score if wide else score.astype(np.int64)) << _PLACE) | (mask - n.points)[None, :].astype(best.dtype)
+        key[a.ids[m.points][:, None] == b.ids[n.points][None, :]] = low
+        if key.shape[1] > k and not wide:
             key = -np.partition(-key, k - 1, axis=1)[:, :k]
-        both = np.sort(np.concatenate((best[a.points], key), axis=1), axis=1)[:, ::-1]
-        best[a.points] = both[:, :k]
-    return best >> 20, np.where(best == low, -1, (1 << 20) - 1 - (best & ((1 << 20) - 1)))
+        both = np.sort(np.concatenate((best[m.points], key), axis=1), axis=1)[:, ::-1]
+        best[m.points] = both[:, :k]
+    none = best == low
+    return best >> _PLACE, np.where(none, -1, mask - (best & mask)).astype(np.int64)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    return flat.flatten().to_numpy().reshape(len(flat), len(flat[0]) if len(flat) else 0)
+
+
+def _cells(rows: DataFrame, n: int) -> DataFrame:
+    """rows with their cell: the nearest of PIVOTS sampled vectors of their length; all in one while they fit in a block."""
+    if n <= VECTOR_BLOCK:
+        return rows.withColumn("cell", F.lit(0))
+    pivots: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id", "v"), "id").limit(PIVOTS).collect():
+        pivots.setdefault(len(r["v"]), []).append(r["v"])
+    tables = {d: np.array(x) for d, x in pivots.items()}
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cell = np.zeros(b.num_rows, np.int32)
+            dims = b.column(2).to_numpy()
+            for d, p in tables.items():
+                at = np.flatnonzero(dims == d)
+                for k in range(0, len(at) if d else 0, 4096):
+                    some = at[k : k + 4096]
+                    x = _matrix(pa.chunked_array([b.column(1).take(pa.array(some))]))
+                    cell[some] = ((p**2).sum(1)[None, :] - 2 * (x @ p.T)).argmin(1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cell)], names=[*b.schema.names, "cell"])
 
+    return rows.mapInArrow(nearest, "id long, v array<double>, dim int, cell int")
 
-def _wide(q: np.ndarray, q_id: np.ndarray, v: np.ndarray, v_id: np.ndarray, k: int) -> tuple[list, list]:
-    """The same for components too large for exact floating-point sums, with Python's integers, without trees."""
-    scores, places = [], []
-    for x, own in zip(q, q_id, strict=True):
-        all_ = sorted((-sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), p) for p, y in enumerate(v) if v_id[p] != own)[:k]
-        scores.append([max(-_LONG, min(_LONG, -s)) for s, _ in all_])
-        places.append([p for _, p in all_])
-    return scores, places
+
+def _blocks(rows: DataFrame, size: int, prefix: str) -> DataFrame:
+    """(dim, <prefix>cell, <prefix>sub, <prefix>data, <prefix>center, <prefix>radius, <prefix>norm, <prefix>n): a row per block, written with its tree."""
+
+    def build(t: pa.Table) -> pa.Table:
+        block = Block(t["id"].to_numpy(), _matrix(t["v"]))
+        r = block.root
+        return pa.table({
+            "dim": t["dim"][:1], "cell": t["cell"][:1], "sub": t["sub"][:1], "data": pa.array([pickle.dumps(block, 5)], pa.binary()),
+            "center": pa.array([r.center.tolist()], pa.list_(pa.float64())), "radius": pa.array([r.radius]), "norm": pa.array([r.norm]), "n": pa.array([len(block.ids)], pa.int64()),
+        })
+
+    per = rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(size)).cast("int").alias("subs"))
+    dealt = rows.join(per, ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("id", "v"), F.col("subs")).cast("int")).select("id", "v", "dim", "cell", "sub")
+    made = dealt.groupBy("dim", "cell", "sub").applyInArrow(build, "dim int, cell int, sub int, data binary, center array<double>, radius double, norm double, n long")
+    return saved(made.withColumnsRenamed({c: prefix + c for c in ("cell", "sub", "data", "center", "radius", "norm", "n")}))
+
+
+def _bound() -> Column:
+    """The best inner product that two blocks can have."""
+    dot = F.aggregate(F.zip_with("q_center", "v_center", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    return dot + F.col("q_norm") * F.col("v_radius") + F.col("v_norm") * F.col("q_radius") + F.col("q_radius") * F.col("v_radius")
+
+
+_PAIR = ["dim", "q_cell", "q_sub", "v_cell", "v_sub"]
 
 
 def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = 50, k: int = K, scale: float = SCALE) -> DataFrame:
@@ -114,41 +188,44 @@ def top_k(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embeddi
     Queries are the vectors whose id is divisible by `every`, candidates all vectors with another id; ties go to the
     smaller id.  Vectors that are null or hold a null or non-finite component, and null ids, take no part, and vectors
     of different lengths aren't compared.  Rows equal in id and vector are one; if an id has several vectors, each is a
-    candidate and each, as a query, has its own ranks.  Scores beyond a long are cut to its range.
+    candidate and each, as a query, has its own ranks.  Scores beyond a long are cut to its range.  An empty table gives
+    an empty result; other columns are ignored.
     """
     ok = F.col("v").isNotNull() & F.col("id").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok).distinct()
-    rows = rows.withColumn("v", F.transform("v", lambda x: x * scale))
-    n = vectors.count()
-    v_blocks, q_blocks = max(1, math.ceil(n / VECTOR_BLOCK)), max(1, math.ceil(n / every / QUERY_BLOCK))
-    # A stated set of queries against all rows, block by block: a vector goes to each block of queries, a query to each of vectors.
-    all_q, all_v = F.sequence(F.lit(0), F.lit(q_blocks - 1)), F.sequence(F.lit(0), F.lit(v_blocks - 1))
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", F.lit(0).alias("side"), F.pmod(F.xxhash64("id"), F.lit(q_blocks)).cast("int").alias("qb"), F.explode(all_v).alias("vb"))
-    data = rows.select("id", "v", F.lit(1).alias("side"), F.explode(all_q).alias("qb"), F.pmod(F.xxhash64("id", "v"), F.lit(v_blocks)).cast("int").alias("vb"))
-
-    def run(t: pa.Table) -> pa.Table:
-        side, ids = t["side"].to_numpy(), t["id"].to_numpy()
-        flat = t["v"].combine_chunks()
-        flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
-        dim = len(flat[0])
-        x = np.floor(flat.flatten().to_numpy().reshape(len(ids), dim)) if dim else np.zeros((len(ids), 0))
-        q, v = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        v = v[np.lexsort((v, ids[v]))]
+    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(ok)
+    whole = lambda x: F.when(F.abs(x) < F.lit(float(1 << 53)), F.floor(x).cast("double")).otherwise(x)  # noqa: E731  (larger doubles are whole)
+    rows = rows.select("id", F.transform("v", lambda x: whole(x * scale)).alias("v")).distinct().select("id", "v", F.size("v").alias("dim"))
+    placed = saved(_cells(rows, vectors.count()))
+    v_blocks, q_blocks = _blocks(placed, VECTOR_BLOCK, "v_"), _blocks(placed.where(F.col("id") % every == 0), QUERY_BLOCK, "q_")
+    # The stated queries against all rows, block by block: here only the blocks' roots meet.
+    pairs = saved(q_blocks.drop("q_data").join(v_blocks.drop("v_data"), "dim").select(*_PAIR, _bound().alias("bound")))
+    first = pairs.groupBy(*_PAIR[:3]).agg(F.max(F.struct("bound", "v_cell", "v_sub")).alias("b")).select(*_PAIR[:3], "b.v_cell", "b.v_sub", F.lit(None).cast("double").alias("least"))
+
+    def search(t: pa.Table) -> pa.Table:
         out: dict[str, list] = {"query_id": [], "query": [], "vec_id": [], "score": []}
-        if len(q) and len(v):
-            big = np.abs(x).max(initial=0.0)
-            search = dual_search if big * big * max(dim, 1) < 1 << 42 and len(v) < 1 << 20 else _wide
-            scores, places = search(x[q], ids[q], x[v], ids[v], k)
-            for row in range(len(q)):
-                for s, p in zip(scores[row], places[row], strict=True):
-                    if p >= 0:
-                        out["query_id"].append(int(ids[q[row]]))
-                        out["query"].append(x[q[row]].tobytes())
-                        out["vec_id"].append(int(ids[v[p]]))
-                        out["score"].append(int(s))
-        return pa.table({"query_id": pa.array(out["query_id"], pa.int64()), "query": pa.array(out["query"], pa.binary()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
-
-    pairs = queries.unionByName(data).withColumn("dim", F.size("v"))
-    found = pairs.groupBy("qb", "vb", "dim").applyInArrow(run, "query_id long, query binary, vec_id long, score long")
+        for q, v, least in zip(t["q_data"].to_pylist(), t["v_data"].to_pylist(), t["least"].to_pylist(), strict=True):
+            a, b = pickle.loads(q), pickle.loads(v)
+            scores, places = dual_search(a, b, k, least)
+            for row, column in zip(*np.nonzero(places >= 0), strict=True):
+                out["query_id"].append(int(a.ids[row]))
+                out["query"].append(a.x[row].tobytes())
+                out["vec_id"].append(int(b.ids[places[row, column]]))
+                out["score"].append(max(-_LONG, min(_LONG, int(scores[row, column]))))
+        n = len(out["score"])
+        same = {c: pa.array([t[c][0].as_py()] * n, pa.int32()) for c in _PAIR[:3]}
+        return pa.table(same | {"query_id": pa.array(out["query_id"], pa.int64()), "query": pa.array(out["query"], pa.binary()), "vec_id": pa.array(out["vec_id"], pa.int64()), "score": pa.array(out["score"], pa.int64())})
+
+    def searched(chosen: DataFrame) -> DataFrame:
+        met = chosen.join(q_blocks.select(*_PAIR[:3], "q_data"), _PAIR[:3]).join(v_blocks.select("dim", *_PAIR[3:], "v_data"), ["dim", *_PAIR[3:]])
+        return met.groupBy(*_PAIR).applyInArrow(search, "dim int, q_cell int, q_sub int, query_id long, query binary, vec_id long, score long")
+
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = saved(searched(first))
+    # A block of queries has its worst k-th score as soon as all its queries have k; till then nothing is ruled out.
+    kth = found.groupBy(*_PAIR[:3], "query_id", "query").agg(F.count("*").alias("n"), F.min("score").alias("low"))
+    least = kth.groupBy(*_PAIR[:3]).agg(F.count("*").alias("have"), F.min("n").alias("n"), F.min("low").cast("double").alias("low"))
+    rest = pairs.join(first.drop("least"), _PAIR, "left_anti").join(least, _PAIR[:3], "left").join(q_blocks.select(*_PAIR[:3], "q_n"), _PAIR[:3])
+    told = F.when((F.col("n") >= k) & (F.col("have") == F.col("q_n")), F.col("low"))
+    rest = rest.withColumn("least", told).where(F.col("least").isNull() | (F.col("bound") + 1e-9 * F.abs("bound") + 1e-6 >= F.col("least"))).select(*_PAIR, "least")
+    every_one = found.unionByName(searched(rest))
+    return every_one.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
