@@ -13,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._spark import saved
+
 #: Buckets of each source and size class: md5 prefixes of so many hexadecimal digits.
-HEX = 2
+HEX = 3
 NOT_SPACE = r"[^\x20\x09-\x0D]+"
 
 
@@ -54,9 +56,13 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(NOT_SPACE)), F.lit(0)).cast("long").alias("_size"), digest.alias("_md5"),
     )
     bits = F.length(F.bin("_size")).cast("int")
-    # A size class is a size's bit length and its four leading bits.
-    base = base.withColumn("_class", bits * 16 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 4, 0))").cast("int")).withColumn("_bucket", F.substring("_md5", 1, HEX))
+    # A size class is a size's bit length and its nine leading bits, so the documents that a copy more or less goes to
+    # in turn are of about one size.
+    base = base.withColumn("_class", bits * 512 + F.expr("shiftright(_size, greatest(length(bin(_size)) - 9, 0))").cast("int")).withColumn("_bucket", F.substring("_md5", 1, HEX))
+    if not keep_columns:
+        base = saved(base)  # slim rows: the texts are gone through once
     counted = base.groupBy("source", "_class", "_bucket").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    counted = saved(counted)
     sizes = counted.groupBy("source").agg(F.sum("_words").alias("source_size"))
     targets = source_targets(sizes, weights, share, most)
     run = Window.partitionBy("source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
