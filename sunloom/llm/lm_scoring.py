@@ -88,12 +88,13 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     holds, and does not change results.
     """
     chunks = partitions(docs.select(id_col, text_col), chunk_mb)
+    table_parts = 3 * chunks  # parts of the table: each holds what all chunks ask of it, so they are smaller than chunks
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_chunk", F.pmod(F.xxhash64("_text", "_id"), F.lit(chunks)).cast("int"))
 
     def ask(t: pa.Table) -> pa.Table:
         keys, counts = _asked(t["_text"], order)
-        parts, cut = _cuts(keys, chunks)
+        parts, cut = _cuts(keys, table_parts)
         ranges = list(zip(cut[:-1], cut[1:], strict=True))
         return pa.table({
             "part": pa.array(parts, pa.int32()), "_chunk": pa.array([t["_chunk"][0].as_py()] * len(parts), pa.int32()),
