@@ -9,11 +9,14 @@ document.  Rows of one chunk and one table part travel as one packed blob
 (sorted hashes as differences, byte by byte, which compress), so a common word
 pair costs one entry per chunk however often it occurs.  There are never more
 blobs than n-grams: a part of which a chunk has nothing gets nothing from it.
+A chunk's n-grams are dealt by hash into a few ranges, of which one at a time is
+sorted and counted, and are scored block by block of text.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,26 +29,27 @@ from ._spark import partitions, saved
 _UNI, _NEXT = np.uint64(0x5851F42D4C957F2D), np.uint64(0x14057B7EF767814F)
 #: Counts from here on are answered apart from the one-byte ones.
 _BIG = 255
-
-
-def _instances(column: pa.ChunkedArray, order: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """For n = 1 ... order the hash of the n words that end at each word; how many of them are more than one word (n - 1 at most, fewer at a row's start); and the row of each word."""
-    raw, offs = _text.utf8(column)
-    hashes: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)] for _ in range(order)]
-    depth, row = [np.zeros(0, np.int8)], [np.zeros(0, np.int32)]
-    for first, last, r, o in _text.blocks(raw, offs):
-        _, _, h, wo = _text.words(r, o)
-        own = np.repeat(np.arange(first, last, dtype=np.int32), np.diff(wo))
-        row.append(own)
-        depth.append(np.minimum(np.arange(len(h)) - wo[own - first], order - 1).astype(np.int8))
-        g = h
-        hashes[0].append(_text.mix(h ^ _UNI))
-        for k in range(1, order):
-            longer = g.copy()
-            longer[1:] = _text.mix(g[:-1] * _NEXT + h[1:] + np.uint64(k - 1))
-            g = longer
-            hashes[k].append(g)
-    return [np.concatenate(x) for x in hashes], np.concatenate(depth), np.concatenate(row)
+#: Pieces of the hashes in which a chunk's n-grams are counted.
+_RANGES = 32
+
+
+def _instances(columns: Iterable[pa.Array], order: int) -> Iterator[tuple[int, int, list[np.ndarray], np.ndarray, np.ndarray]]:
+    """Block by block of rows: its first row and the one after its last; for n = 1 ... order the hash of the n words that end at each word; how many of them are more than one word (n - 1 at most, fewer at a row's start); and the row of each word, from 0 in each block."""
+    start = 0
+    for column in columns:
+        raw, offs = _text.utf8(column)
+        for first, last, r, o in _text.blocks(raw, offs):
+            _, _, h, wo = _text.words(r, o)
+            row = np.repeat(np.arange(last - first, dtype=np.int32), np.diff(wo))
+            depth = np.minimum(np.arange(len(h)) - wo[row], order - 1).astype(np.int8)
+            g, hashes = h, [_text.mix(h ^ _UNI)]
+            for k in range(1, order):
+                longer = g.copy()
+                longer[1:] = _text.mix(g[:-1] * _NEXT + h[1:] + np.uint64(k - 1))
+                g = longer
+                hashes.append(g)
+            yield start + first, start + last, hashes, depth, row
+        start += len(column)
 
 
 def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +65,18 @@ def _cuts(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
     return part[at].astype(np.int32), np.append(at, len(keys))
 
 
-def _asked(column: pa.ChunkedArray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    hashes, depth, _ = _instances(column, order)
-    return _distinct(np.concatenate([h if not k else h[depth >= k] for k, h in enumerate(hashes)]))
+def _ranges(columns: Iterable[pa.Array], order: int, parts: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The distinct n-grams of all rows and their counts, sorted, in at most _RANGES pieces of whole parts: only one piece at a time is sorted or counted."""
+    ends = np.array([-(-((k * parts // _RANGES) << 32) // parts) << 32 for k in range(1, _RANGES)], np.uint64)
+    dealt: list[list[np.ndarray]] = [[] for _ in range(_RANGES)]
+    for _, _, hashes, depth, _ in _instances(columns, order):
+        x = np.sort(np.concatenate([h if not k else h[depth >= k] for k, h in enumerate(hashes)]))
+        for to, piece in zip(dealt, np.split(x, np.searchsorted(x, ends)), strict=True):
+            to.append(piece.copy())  # a view would keep the whole block
+    for k, pieces in enumerate(dealt):
+        dealt[k] = []
+        if sum(map(len, pieces)):
+            yield _distinct(np.concatenate(pieces))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -92,28 +105,31 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     id_type = docs.schema[id_col].dataType.simpleString()
     dealt = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).withColumn("_chunk", F.pmod(F.xxhash64("_text", "_id"), F.lit(chunks)).cast("int"))
 
-    def ask(t: pa.Table) -> pa.Table:
-        keys, counts = _asked(t["_text"], order)
-        parts, cut = _cuts(keys, table_parts)
-        ranges = list(zip(cut[:-1], cut[1:], strict=True))
-        return pa.table({
-            "part": pa.array(parts, pa.int32()), "_chunk": pa.array([t["_chunk"][0].as_py()] * len(parts), pa.int32()),
-            "keys": pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ranges], pa.binary()),
-            "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for a, b in ranges], pa.binary()),
-        })
+    def ask(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, counts in _ranges((t.column("_text") for t in batches), order, table_parts):
+            parts, cut = _cuts(keys, table_parts)
+            ranges = list(zip(cut[:-1], cut[1:], strict=True))
+            yield pa.record_batch({
+                "part": pa.array(parts, pa.int32()), "_chunk": pa.array([key[0].as_py()] * len(parts), pa.int32()),
+                "keys": pa.array([_pack(np.diff(keys[a:b], prepend=np.uint64(0))) for a, b in ranges], pa.binary()),
+                "counts": pa.array([_pack(counts[a:b].astype(np.uint32)) for a, b in ranges], pa.binary()),
+            })
 
     def answer(t: pa.Table) -> pa.Table:
         keys = [np.cumsum(_unpack(x.as_buffer(), np.uint64), dtype=np.uint64) for x in t["keys"]]
+        cuts = np.cumsum([len(k) for k in keys])[:-1]
         every = np.concatenate(keys)
+        del keys
         by = np.argsort(every)
-        new = np.ones(len(every), bool)
-        new[1:] = every[by[1:]] != every[by[:-1]]
-        which = np.cumsum(new) - 1
+        every = every[by]
+        new = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        times = np.diff(np.append(new, len(every)))
+        del every
         counts = np.concatenate([_unpack(x.as_buffer(), np.uint32) for x in t["counts"]])
-        total = np.add.reduceat(counts[by].astype(np.int64), np.flatnonzero(new))
-        out = np.empty(len(every), np.int64)
-        out[by] = total[which]
-        pieces = np.split(out, np.cumsum([len(k) for k in keys])[:-1])
+        total = np.add.reduceat(counts[by], new, dtype=np.int64)
+        out = np.empty(len(by), np.int64)
+        out[by] = np.repeat(total, times)
+        pieces = np.split(out, cuts)
         return pa.table({
             "part": t["part"], "_chunk": t["_chunk"], "small": pa.array([np.minimum(x, _BIG).astype(np.uint8).tobytes() for x in pieces], pa.binary()),
             "big": pa.array([_pack(x[x >= _BIG]) for x in pieces], pa.binary()),
@@ -122,20 +138,27 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         n = left.num_rows
         tokens, back, unseen, logs = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
-        hashes, depth, row = _instances(left["_text"], order) if n else ([np.zeros(0)], np.zeros(0), np.zeros(0))
-        if len(row):
-            keys, _ = _distinct(np.concatenate([h if not k else h[depth >= k] for k, h in enumerate(hashes)]))
-            parts = sorted(zip(right["part"].to_pylist(), right["small"], right["big"], strict=True), key=lambda x: x[0])
-            total = np.concatenate([np.frombuffer(x.as_buffer(), np.uint8) for _, x, _ in parts]).astype(np.int64)
-            assert len(total) == len(keys), "a part's answer is missing"
-            total[total == _BIG] = np.concatenate([_unpack(x.as_buffer(), np.int64) for _, _, x in parts])
+        parts = sorted(zip(right["part"].to_pylist(), right["small"], right["big"], strict=True), key=lambda x: x[0])
+        small = np.concatenate([np.zeros(0, np.uint8), *(np.frombuffer(x.as_buffer(), np.uint8) for _, x, _ in parts)])
+        big = np.concatenate([np.zeros(0, np.int64), *(_unpack(x.as_buffer(), np.int64) for _, _, x in parts)])
+        big_at = np.flatnonzero(small == _BIG)
+        keys, known = np.empty(len(small), np.uint64), 0
+        for x, _ in _ranges(left["_text"].chunks, order, table_parts):
+            assert known + len(x) <= len(keys), "a part's answer is missing"
+            keys[known : known + len(x)] = x
+            known += len(x)
+        assert known == len(keys), "a part's answer is missing"
+        for first, last, hashes, depth, row in _instances(left["_text"].chunks, order):
             counts = []
             for k, h in enumerate(hashes):
                 some = np.flatnonzero(depth >= k)
                 some = some[np.argsort(h[some])]
+                at = np.searchsorted(keys, h[some])
+                found = small[at].astype(np.int64)
+                more = np.flatnonzero(found == _BIG)
+                found[more] = big[np.searchsorted(big_at, at[more])]
                 c = np.zeros(len(h), np.int64)
-                c[some] = total[np.searchsorted(keys, h[some])]
-                hashes[k] = None
+                c[some] = found
                 counts.append(c)
             used = np.zeros(len(row), np.int8)
             term = np.log(counts[0])
@@ -144,8 +167,10 @@ def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 used[ok] = k
                 term[ok] = np.log(counts[k][ok]) - np.log(counts[k - 1][ok - 1])
             term += (depth - used) * math.log(alpha)
-            tokens, back = np.bincount(row, minlength=n), np.bincount(row, weights=used < depth, minlength=n).astype(np.int64)
-            unseen, logs = np.bincount(row, weights=used == 0, minlength=n).astype(np.int64), np.bincount(row, weights=term, minlength=n)
+            tokens[first:last] = np.bincount(row, minlength=last - first)
+            back[first:last] = np.bincount(row, weights=used < depth, minlength=last - first)
+            unseen[first:last] = np.bincount(row, weights=used == 0, minlength=last - first)
+            logs[first:last] = np.bincount(row, weights=term, minlength=last - first)
         return pa.table({"_id": left["_id"], "n_tokens": pa.array(tokens, pa.int64()), "n_backoff": pa.array(back, pa.int64()), "unseen": pa.array(unseen, pa.int64()), "logs": pa.array(logs, pa.float64())})
 
     asked = dealt.select("_chunk", "_id", "_text").groupBy("_chunk").applyInArrow(ask, "part int, _chunk int, keys binary, counts binary")

@@ -4,14 +4,18 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 
 from sunloom.llm import decontaminate, html_extract, langid, license_scan, lm_scoring, mixing, near_dup, quality, suffix_dedup, topk
 from sunloom.llm import queries as Q
@@ -60,6 +64,32 @@ def test_lm_scoring(spark, texts, order):
     assert lm_scoring.stupid_backoff(df.limit(0)).count() == 0
 
 
+def test_lm_scoring_memory(spark, monkeypatch):
+    """What a task of a chunk holds at once, in bytes a byte of text: the chunk's n-grams are never all spread out at the same time."""
+    kept, plain, joined = {}, GroupedData.applyInArrow, PandasCogroupedOps.applyInArrow
+    monkeypatch.setattr(GroupedData, "applyInArrow", lambda g, f, schema: plain(g, kept.setdefault(f.__name__, f), schema))
+    monkeypatch.setattr(PandasCogroupedOps, "applyInArrow", lambda g, f, schema: joined(g, kept.setdefault(f.__name__, f), schema))
+    lm_scoring.stupid_backoff(frame(spark, ["a b"]), order=3)
+    rng, many = random.Random(5), [f"w{k}" for k in range(9000)]
+    texts = [" ".join(rng.choices(many, k=400)) for _ in range(4000)]
+    size = sum(map(len, texts))
+    left = pa.table({"_chunk": pa.array([0] * len(texts), pa.int32()), "_id": list(range(len(texts))), "_text": texts})
+
+    def most(run):
+        tracemalloc.start()
+        out = run()
+        peak = tracemalloc.get_traced_memory()[1] / size
+        tracemalloc.stop()
+        return out, peak
+
+    asked, peak = most(lambda: pa.Table.from_batches(list(kept["ask"]((pa.scalar(0),), iter(left.to_batches())))))
+    assert peak < 10
+    told = [kept["answer"](asked.filter(pc.equal(asked["part"], k))) for k in asked["part"].unique()]
+    scored, peak = most(lambda: kept["score"](left, pa.concat_tables(told)))
+    assert peak < 14
+    assert sum(scored["n_tokens"].to_pylist()) == 400 * len(texts)
+
+
 def test_license_scan(spark, texts):
     more = ["All rights reserved. CC BY-NC 4.0", "Licensed under the Apache License, Version 2.0.", "x GNU General Public License y all rights reserved", "cc", "by"]
     df = frame(spark, [*texts, *more])
