@@ -15,7 +15,7 @@ different cells for one sort are halved, down to single strings; a hash with mor
 contexts than one task should hold is halved in the same way by a shuffle.
 
 Joins on a hash have a plain exchange on either side, so that adaptive execution can split a hash that very many
-places share.
+places share.  The texts are dealt by their keys once: contexts are cut from, and digests made of, the same exchange.
 """
 
 from __future__ import annotations
@@ -63,6 +63,13 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b if len(fresh) == b.num_rows else b.take(pa.array(fresh, pa.int64()))
 
 
+def _by_key(docs: DataFrame, text_col: str) -> DataFrame:
+    """(key, text), each text once a task.  Joins on key that read both columns share one exchange of it: the null test is
+    what the planner would add to some of them only."""
+    source = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return source.mapInArrow(_once, "key binary, text string").where("key IS NOT NULL")
+
+
 def gram_of(window: int) -> int:
     """Bytes of the substrings whose hashes choose a window's anchor."""
     return window * 8 // 25
@@ -327,10 +334,11 @@ def _split(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(types)], names=names)
 
 
-def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW, texts: DataFrame | None = None) -> DataFrame:
     """(key, begin, end): bytes of each text (by its key) that a repeated string of `window` bytes covers; spans may overlap.
 
-    Copies of a text are one text here: what stands in a single text, once, isn't reported.
+    Copies of a text are one text here: what stands in a single text, once, isn't reported.  texts: _by_key of docs, if
+    the caller joins it too.
     """
     spark = docs.sparkSession
     source = docs.select(text_key(text_col).alias("key"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -346,7 +354,7 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     contexts = saved(loose(contexts, "hash").join(loose(counted, "hash"), "hash").where("c > 1 OR multi"))
     spans = [contexts.where("c = 1").select("hash", "context", F.array(F.col("low").cast("long"), (F.col("low") + F.col("size")).cast("long")).alias("spans"))]
     # The different contexts of a hash get their bytes from the texts.
-    texts = source.mapInArrow(_once, "key binary, text string")
+    texts = _by_key(docs, text_col) if texts is None else texts
     wanted = contexts.where("c > 1").select("hash", "context", "key", "multi", "low", "size", "pos", "c")
     texts = texts.join(wanted.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
     start = F.col("pos") + F.col("low")
@@ -384,16 +392,11 @@ def repeated_spans(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     return flat.where(F.size("spans") > 0).select("key", "pos", "spans", pair.alias("k")).select("key", (F.col("pos") + F.get("spans", F.col("k"))).alias("begin"), (F.col("pos") + F.get("spans", F.col("k") + 1)).alias("end"))
 
 
-def _marked(docs: DataFrame, text_col: str, carry: list, window: int, passages: bool = False) -> DataFrame:
-    """carry's columns, the text, the flat spans of its key (null: none), whether the whole text has a copy, and its shared passages."""
-    key = text_key(text_col)
-    spans = repeated_spans(docs, text_col, window).groupBy("key").agg(F.flatten(F.array_sort(F.collect_set(F.array("begin", "end")))).alias("_spans"))
-    copied = docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("_copied"))
-    info = spans.join(copied, "key", "full_outer")
-    if passages:
-        info = info.join(shared_passages(docs, text_col).withColumnRenamed("n", "_shared"), "key", "full_outer")
-    rows = docs.select(*carry, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), key.alias("key"))
-    return rows.join(info, "key", "left").drop("key")
+def _info(docs: DataFrame, text_col: str, window: int, texts: DataFrame | None = None) -> DataFrame:
+    """(key, _spans, _copied): the flat spans of a text (null: none), and whether the whole text has a copy (null: no)."""
+    spans = repeated_spans(docs, text_col, window, texts).groupBy("key").agg(F.flatten(F.array_sort(F.collect_set(F.array("begin", "end")))).alias("_spans"))
+    copied = docs.select(text_key(text_col).alias("key")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.lit(True).alias("_copied"))
+    return spans.join(copied, "key", "full_outer")
 
 
 def _kept(raw: np.ndarray, spans: list[int] | None, copied: bool, window: int) -> tuple[list[tuple[int, int]], bytes]:
@@ -423,21 +426,26 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     passages of over 50 words that other rows have too, whatever their bytes: the number of strings that shared_passages
     finds, 0 for none.  Other columns are ignored, null and repeated ids keep their rows, an empty table gives none.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _once(batches):
             raw, offs = _text.utf8(b.column(1))
             removed, count, sha = [], [], []
             for k, (spans, copied) in enumerate(zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True)):
                 runs, left = _kept(raw[offs[k] : offs[k + 1]], spans, bool(copied), window)
                 removed.append(sum(y - x for x, y in runs))
                 count.append(len(runs))
-                sha.append(hashlib.sha256(left).hexdigest())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.string()), b.column(4)], names=["_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_shared"])
+                sha.append(hashlib.sha256(left).digest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(offs), pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(sha, pa.binary()), b.column(4)], names=["key", "n_bytes", "n_removed", "n_spans", "sha", "n_shared"])
 
-    marked = _marked(docs, text_col, [F.col(id_col).alias("_id")], window, True).select("_id", "_text", "_spans", "_copied", F.coalesce("_shared", F.lit(0)).cast("long").alias("_shared"))
-    return marked.mapInArrow(run, f"_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_shared long").withColumnRenamed("_id", id_col)
+    texts = _by_key(docs, text_col)
+    info = _info(docs, text_col, window, texts).join(shared_passages(docs, text_col).withColumnRenamed("n", "_shared"), "key", "full_outer")
+    marked = texts.join(info, "key", "left").select("key", "text", "_spans", "_copied", F.coalesce("_shared", F.lit(0)).cast("long").alias("_shared"))
+    # A text comes once from each task that read it, and so may its digest.
+    digests = marked.mapInArrow(run, "key binary, n_bytes long, n_removed long, n_spans long, sha binary, n_shared long").dropDuplicates(["key"])
+    rows = docs.select(F.col(id_col).alias("_id"), text_key(text_col).alias("key"))
+    out = rows.join(loose(digests, "key"), "key")
+    return out.select(F.col("_id").alias(id_col), "n_bytes", "n_removed", "n_spans", F.lower(F.hex("sha")).alias("kept_sha256"), "n_shared")
 
 
 def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -460,4 +468,5 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
 
     names = docs.columns
     row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row")
-    return _marked(docs, text_col, [row], window).select("_row", "_text", "_spans", "_copied").mapInArrow(run, kinds)
+    rows = docs.select(row, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"), text_key(text_col).alias("key"))
+    return rows.join(_info(docs, text_col, window), "key", "left").select("_row", "_text", "_spans", "_copied").mapInArrow(run, kinds)

@@ -350,6 +350,29 @@ def test_suffix_dedup(spark, texts, most, window, monkeypatch):
             assert number[d] > 0 if x else (number[d] == 0 or y)
 
 
+def test_suffix_dedup_sends_texts_once(spark):
+    """Of texts that hardly compress and all have something repeated: what the query's exchanges write, in bytes a byte of text."""
+    rng, letters = random.Random(3), "".join(map(chr, range(33, 127)))
+    passages = ["".join(rng.choices(letters, k=450)) for _ in range(150)]
+    rows = ["".join(rng.choices(letters, k=3000)) + passages[k % 150] + "".join(rng.choices(letters, k=3000)) for k in range(300)]
+    bus, store = spark.sparkContext._jsc.sc().listenerBus(), spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        bus.waitUntilEmpty()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+    old, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = suffix_dedup.dedup_digest(frame(spark, rows)).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert len(got) == len(rows) and all(r["n_removed"] >= 450 and r["n_spans"] == 1 for r in got)
+    sent = sum(n for k, n in written().items() if k not in before) / sum(map(len, rows))
+    assert 1 < sent < 2.6
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(60):
