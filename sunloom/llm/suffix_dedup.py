@@ -198,11 +198,11 @@ def repeated_starts(slices: list[bytes], groups: np.ndarray, places: list[tuple[
         offs.append(at)
     raw = np.frombuffer(b"".join(parts), np.uint8)
     starts, lengths, offs = np.array(starts), np.array([len(x) for x in slices]), np.array(offs)
-    text = raw.astype(np.int64) + 2
+    text = raw.astype(np.int16) + np.int16(2)
     text[(starts + lengths)[:-1]] = 1  # between the slices of a group
     text[offs[1:] - 1] = 0
     order = suffix_arrays(text, offs)
-    of = np.full(len(raw), -1, np.int64)
+    of = np.full(len(raw), -1, np.int32)
     windows = np.maximum(lengths - window + 1, 0)
     for k in range(len(slices)):
         of[starts[k] : starts[k] + windows[k]] = k

@@ -10,7 +10,7 @@ groups to its left neighbour and to that one's chain of previous-smaller
 pointers.  No string is renamed or sorted recursively.
 
 All strings take their steps together, so that a step is a few array operations
-however many strings there are.
+however many strings there are.  Positions are four bytes wide wherever they fit.
 """
 
 from __future__ import annotations
@@ -33,27 +33,34 @@ def suffix_arrays(text: np.ndarray, offs: np.ndarray) -> np.ndarray:
     n = len(text)
     base, sizes = offs[:-1].astype(np.int64), np.diff(offs).astype(np.int64)
     none = n  # "no position": below every group
-    order, group, size, prev, starts = _lyndon_groups(text, base, sizes, none)
+    group, size, prev = _lyndon_groups(text, base, sizes, none)
     return _emit(group, size, prev, base, sizes, none, n)
 
 
+def _width(most: int) -> type:
+    return np.int32 if most < 1 << 31 else np.int64
+
+
 def _lyndon_groups(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, none: int):
     n = len(text)
-    string = np.repeat(np.arange(len(base)), sizes)
+    kind = _width(n)
     first = np.zeros(n + 1, bool)
     first[base[sizes > 0]] = True
-    key = string * (int(text.max(initial=0)) + 1) + text
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
-    new = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if n else np.zeros(0, np.int64)
+    symbols = int(text.max(initial=0)) + 1
+    key = np.repeat(np.arange(len(base), dtype=_width(len(base) * symbols)) * symbols, sizes)  # string, then symbol
+    key += text
+    order = np.argsort(key, kind="stable").astype(kind)
+    key = key[order]
+    new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))).astype(kind) if n else np.zeros(0, kind)
+    del key
     length = np.diff(np.append(new, n))
-    size = np.zeros(n + 1, np.int64)
+    size = np.zeros(n + 1, kind)
     size[new] = length
-    group = np.full(n + 1, -1, np.int64)  # a position's group: the place where it starts
+    group = np.full(n + 1, -1, kind)  # a position's group: the place where it starts
     group[order] = np.repeat(new, length)
-    rank = np.empty(n + 1, np.int64)
-    rank[order] = np.arange(n)
-    prev = np.full(n + 1, none, np.int64)
+    rank = np.empty(n + 1, kind)
+    rank[order] = np.arange(n, dtype=kind)
+    prev = np.full(n + 1, none, kind)
     moved = np.zeros(n + 1, bool)
     cursor, low = (base + sizes)[sizes > 0], base[sizes > 0]
     while len(cursor):
@@ -107,12 +114,12 @@ def _lyndon_groups(text: np.ndarray, base: np.ndarray, sizes: np.ndarray, none:
         cursor = at
         left = cursor > low
         cursor, low = cursor[left], low[left]
-    return order, group, size, prev, first
+    return group, size, prev
 
 
 def _emit(group: np.ndarray, size: np.ndarray, prev: np.ndarray, base: np.ndarray, sizes: np.ndarray, none: int, n: int) -> np.ndarray:
-    out = np.full(n, -1, np.int64)
-    filled = np.zeros(n + 1, np.int64)
+    out = np.full(n, -1, _width(n))
+    filled = np.zeros(n + 1, _width(n))
     placed = np.zeros(n + 1, bool)
     placed[none] = True
     first = np.zeros(n + 1, bool)

@@ -373,6 +373,20 @@ def test_suffix_dedup_sends_texts_once(spark):
     assert 1 < sent < 2.6
 
 
+def test_suffix_sort_memory():
+    """What sorting holds at once, in bytes a byte of text."""
+    rng = random.Random(7)
+    passage = rng.randbytes(400)
+    slices = [rng.randbytes(11) + bytes([k % 20]) + passage + bytes([k % 20]) + rng.randbytes(11) for k in range(1000)]
+    places = [(b"%d" % k, 0) for k in range(len(slices))]
+    tracemalloc.start()
+    got = suffix_dedup.repeated_starts(slices, np.arange(len(slices)) // 20, places, np.zeros(len(slices), bool))
+    peak = tracemalloc.get_traced_memory()[1] / sum(map(len, slices))
+    tracemalloc.stop()
+    assert [x.tolist() for x in got] == [[12]] * len(slices)
+    assert peak < 60
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(60):
