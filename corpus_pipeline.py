@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sunloom.llm import decontaminate, mixing, near_dup, quality, suffix_dedup
-from sunloom.llm._spark import removed, shared_folder
+from sunloom.llm._spark import collected, removed, shared_folder
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,4 +76,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if before:
             removed(spark, before)
         before = path
+        collected(spark)
     return docs

@@ -44,6 +44,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def collected(spark: SparkSession) -> None:
+    """Has the driver's JVM collect its garbage.  Executors keep the broadcasts and shuffle files of plans that are over
+    until it does, and a driver with memory to spare is late with it."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def removed(spark: SparkSession, folder: str) -> None:
     """Deletes a folder on whatever file system it is."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
@@ -78,6 +84,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if state == before:
             break
         before = state
+        collected(edges.sparkSession)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -7,7 +7,9 @@ read off one prefix sum for a whole batch, then mixed.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,25 @@ _tables: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 BLOCK = 1 << 20
 
 
+def given_back() -> None:
+    """Gives memory that is free in this process back to the system: allocators keep it, and an idle worker would hold it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim:
+        trim(0)
+
+
+def lean(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """run over the batches of a part; what it has freed goes back to the system when the part is done."""
+
+    @functools.wraps(run)
+    def inner(batches: Iterator[pa.RecordBatch], *args) -> Iterator[pa.RecordBatch]:
+        yield from run(batches, *args)
+        given_back()
+
+    return inner
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """splitmix64's finaliser: a bijection of the 64-bit words."""
     x = x ^ (x >> np.uint64(30))

@@ -113,6 +113,7 @@ def text_key(text_col: str) -> Column:
     return F.unhex(F.md5(F.col(text_col).cast("string").cast("binary")))
 
 
+@_text.lean
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each key of this task: a group of copies is reduced to a row per task before any shuffle."""
     seen: set[bytes] = set()
@@ -130,6 +131,7 @@ def _digits(sig: np.ndarray) -> np.ndarray:
     return ((sig >> np.uint64(7)) & np.uint64(15)).astype(np.uint8)
 
 
+@_text.lean
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, text) -> (key, bucket of each band, four bits of each coordinate); none for a text without words."""
     for b in _once(batches):
@@ -173,6 +175,7 @@ def _links(sig: np.ndarray, left: range, right: range, similar: Callable[[int, n
     return out
 
 
+@_text.lean
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """All rows (bucket, key, sig) of a part -> links between agreeing texts of one bucket, a forest per bucket.
 

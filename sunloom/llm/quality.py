@@ -129,6 +129,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # Bounded by max_rows, so it can be sent to every task.  Copies of a text with the same labels are one example.
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("_text")).join(F.broadcast(known), "_id").select("_text", "_quality", "_toxic").distinct()
 
+    @_text.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n = b.num_rows
@@ -239,6 +240,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
         return docs.select(*(F.col(f"`{c}`") for c in old), *(one.alias(c) for c in ours[:3]), *(zero.alias(c) for c in ours[3:6]), F.lit(True).alias("keep"))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of a bounded size: 2 * BUCKETS cells at most
 
+    @_text.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = shared.value.predict(b.column(0))

@@ -51,6 +51,7 @@ def text_key(text_col: str):
     return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))
 
 
+@_text.lean
 def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The first row of each key of this task."""
     seen: set[bytes] = set()
@@ -114,6 +115,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, window: int = WINDOW) -> tuple[np
     return row, at - offs[row], h[at], context, begin - at, end - begin
 
 
+@_text.lean
 def _find(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """(key, text) -> (hash, context, key, pos, low, size) of every anchor."""
     for b in _once(batches):
@@ -127,6 +129,7 @@ def _find(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordB
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(context.view(np.int64)), b.column(0).take(pa.array(first + row)), pa.array(pos + shift, pa.int64()), pa.array(low, pa.int32()), pa.array(size, pa.int32())], names=["hash", "context", "key", "pos", "low", "size"])
 
 
+@_text.lean
 def _passages(batches: Iterator[pa.RecordBatch], once: bool) -> Iterator[pa.RecordBatch]:
     """(key, text) -> (hash, key): hashes of PASSAGE_GRAM words of a text, so dealt that every PASSAGE of words has one."""
     for b in _once(batches) if once else batches:
@@ -235,6 +238,7 @@ def _spans(starts: np.ndarray, window: int) -> np.ndarray:
     return np.column_stack((starts[np.concatenate(([0], cut + 1))], starts[np.concatenate((cut, [len(starts) - 1]))] + window)).ravel()
 
 
+@_text.lean
 def _sort_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows (core, sub, slice, key, start, multi, low), those of a core adjacent -> (core, sub, spans) with a repeated string."""
     left = window - gram_of(window)
@@ -301,12 +305,14 @@ def _sort_groups(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.
             if size > SORT_BYTES and row[0] != held[-1][0]:
                 yield solve(held)
                 held, size = [], 0
+                _text.given_back()
             held.append(row)
             size += len(row[2])
     if held:
         yield solve(held)
 
 
+@_text.lean
 def _split(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Rows (hash, context, slice, key, start, multi, low, core) -> the same, and sub, for both halves of their strings.
 
@@ -427,6 +433,7 @@ def dedup_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     finds, 0 for none.  Other columns are ignored, null and repeated ids keep their rows, an empty table gives none.
     """
 
+    @_text.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _once(batches):
             raw, offs = _text.utf8(b.column(1))
@@ -456,6 +463,7 @@ def remove_repeats(docs: DataFrame, text_col: str = "text", window: int = WINDOW
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     at = docs.columns.index(text_col)
 
+    @_text.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             columns = b.column(0).flatten()

@@ -2,8 +2,11 @@
 
 import hashlib
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 import tracemalloc
 from collections import Counter
 
@@ -387,6 +390,31 @@ def test_suffix_sort_memory():
     assert peak < 60
 
 
+HELD = """
+import random, sys
+import pyarrow as pa
+from sunloom.llm import near_dup, suffix_dedup
+rng = random.Random(3)
+texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(150)) for _ in range(6000)]
+b = pa.RecordBatch.from_arrays([pa.array([b"%d" % k for k in range(len(texts))], pa.binary()), pa.array(texts)], names=["key", "text"])
+near_dup._text.powers(1 << 20)
+held = lambda: sum(int(x.split()[1]) for x in open("/proc/self/smaps_rollup") if x.startswith("Anonymous:")) / 1024
+before = held()
+for _ in near_dup._sign(iter([b])) if sys.argv[1] == "sign" else suffix_dedup._find(iter([b]), 200):
+    pass
+del _
+print(held() - before)
+"""
+
+
+@pytest.mark.skipif(not sys.platform.startswith("linux"), reason="reads /proc")
+@pytest.mark.parametrize("step", ["sign", "find"])
+def test_workers_give_memory_back(step):
+    """MB that a worker holds after a part, besides what it held before."""
+    out = subprocess.run([sys.executable, "-c", HELD, step], capture_output=True, text=True, check=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    assert float(out.stdout) < 10
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
     for _ in range(60):
